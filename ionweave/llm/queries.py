@@ -14,6 +14,7 @@ from .packing import pack
 from .secret_scan import BASE_RULES, RULES, joined, scan
 from .sharding import assign_shards
 from .simhash import near_duplicates
+from .substring_dedup import repeated_passages
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +61,13 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op3_secret_scan, op4_language_id, op5_line_dedup, op7_simhash, op8_decontaminate, op9_packing, op10_sharding)}
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeated_passages(documents(spark, sf_dir))
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s[0], s[1])), ",")
+    return out.select("doc_id", "class_id", "links", F.round("similarity", 6).alias("similarity"), "n_words", spans.alias("spans"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op3_secret_scan, op4_language_id, op5_line_dedup, op6_substring_dedup, op7_simhash, op8_decontaminate, op9_packing, op10_sharding)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
