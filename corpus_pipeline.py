@@ -1,6 +1,7 @@
 """Corpus pipeline: documents in, packed training sequences out. Each stage is written as Parquet and read again.
 
-No stage beyond exact joins can be put into SQL (a learned model, fingerprints, a tokenizer), so ORACLE_SQL is None."""
+Its stages learn a model, fingerprint texts and run a tokenizer, which SQL cannot express; ORACLE_SQL is None and the
+tests hold each stage against a brute-force version."""
 
 from __future__ import annotations
 
@@ -8,14 +9,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ionweave.llm.common import documents, store
+from ionweave.llm.decontaminate import drop_contaminated
 from ionweave.llm.line_dedup import replace_lines
 from ionweave.llm.packing import pack
 from ionweave.llm.simhash import keep_one
+from ionweave.llm.toxicity import drop_toxic
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go; n_chars follows the text."""
-    return replace_lines(docs).withColumn("n_chars", F.length("text").cast("long"))
+    """Repeated lines go; n_chars follows the text. Every document stays, if only with an empty text."""
+    out = replace_lines(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,12 +32,17 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_one(docs)
 
 
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents become pieces of sequences of 2048 tokens."""
     return pack(docs)
 
 
-STAGES = [("line_dedup", line_dedup), ("near_dedup", near_dedup), ("packing", packing)]
+STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("packing", packing)]
 ORACLE_SQL = None
 
 
