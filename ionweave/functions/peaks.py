@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ionweave.functions.binding import let
+
 
 def zipped(mz: Column, intensity: Column, mobility: Column | None = None) -> Column:
     """array<struct<mz,intensity[,mobility]>>; arrays of unequal length raise an error."""
@@ -26,7 +28,7 @@ def keep_outside(peaks: Column, low, high) -> Column:
 def keep_ratio(peaks: Column, ratio: float) -> Column:
     """Peaks of at least `ratio` times the highest."""
     top = F.array_max(F.transform(peaks, lambda p: p["intensity"]))
-    return F.filter(peaks, lambda p: p["intensity"] >= top * ratio)
+    return let(top * ratio, lambda least: F.filter(peaks, lambda p: p["intensity"] >= least))
 
 
 def keep_floor(peaks: Column, floor: float) -> Column:
@@ -51,19 +53,19 @@ def top_peaks(peaks: Column, n: int) -> Column:
 def base_peak(peaks: Column) -> Column:
     """struct<intensity,mz> of the highest peak, the first of equals; null without peaks."""
     held = F.transform(peaks, lambda p, i: F.struct(p["intensity"].alias("intensity"), (-i).alias("_order"), p["mz"].alias("mz")))
-    best = F.array_max(held)
-    return F.when(F.size(peaks) > 0, F.struct(best["intensity"].alias("intensity"), best["mz"].alias("mz")))
+    return let(F.array_max(held), lambda best: F.when(best.isNotNull(), F.struct(best["intensity"].alias("intensity"), best["mz"].alias("mz"))))
 
 
 def is_sorted(values: Column) -> Column:
-    return F.forall(F.sequence(F.lit(2), F.greatest(F.size(values), F.lit(2))), lambda i: F.coalesce(F.get(values, i - 2) <= F.get(values, i - 1), F.lit(True)))
+    pairs = lambda v: F.forall(F.sequence(F.lit(2), F.greatest(F.size(v), F.lit(2))), lambda i: F.coalesce(F.get(v, i - 2) <= F.get(v, i - 1), F.lit(True)))
+    return let(values, pairs)
 
 
 def slice_between(values: Column, low, high, slack: bool = False) -> Column:
     """Values of a sorted array in [low, high]; with slack, the last one below low as well."""
     inside = F.filter(values, lambda v: v.between(low, high))
     below = F.filter(values, lambda v: v < low)
-    return F.concat(F.slice(below, F.greatest(F.size(below), F.lit(1)), 1), inside) if slack else inside
+    return let(below, lambda b: F.concat(F.slice(b, F.greatest(F.size(b), F.lit(1)), 1), inside)) if slack else inside
 
 
 def sorted_union(a: Column, b: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ionweave.functions.binding import let
+
 # Monoisotopic masses (Da).
 RESIDUES = {"G": 57.02146, "A": 71.03711, "S": 87.03203, "P": 97.05276, "V": 99.06841, "T": 101.04768, "C": 103.00919, "L": 113.08406, "I": 113.08406, "N": 114.04293, "D": 115.02694, "Q": 128.05858, "K": 128.09496, "E": 129.04259, "M": 131.04049, "H": 137.05891, "F": 147.06841, "R": 156.10111, "Y": 163.06333, "W": 186.07931}
 PROTON, WATER, CARBAMIDOMETHYL, NEUTRON = 1.00727646688, 18.01056, 57.02146, 1.00335
@@ -61,10 +63,13 @@ def peptide_mz(masses: Column, charge: Column) -> Column:
 
 def digest(sequence: Column, enzyme: str, missed: int, lengths: tuple[int, int]) -> Column:
     """array<string> of peptides: pieces end after each match of the enzyme's site; up to `missed` sites stay uncut."""
-    pieces = F.regexp_extract_all(sequence, F.lit(f"(?:(?!{enzyme}).)*{enzyme}|(?:(?!{enzyme}).)+$"), F.lit(0))
-    joined = lambda m: lambda i: F.array_join(F.slice(pieces, i, m + 1), "")
-    runs = [F.transform(F.sequence(F.lit(1), F.size(pieces) - m), joined(m)) for m in range(missed + 1)]
-    made = F.concat(*(F.when(F.size(pieces) > m, r).otherwise(F.array().cast("array<string>")) for m, r in enumerate(runs)))
+
+    def joined(pieces, m):
+        runs = F.transform(F.sequence(F.lit(1), F.size(pieces) - m), lambda i: F.array_join(F.slice(pieces, i, m + 1), ""))
+        return F.when(F.size(pieces) > m, runs).otherwise(F.array().cast("array<string>"))
+
+    cut = F.regexp_extract_all(sequence, F.lit(f"(?:(?!{enzyme}).)*{enzyme}|(?:(?!{enzyme}).)+$"), F.lit(0))
+    made = let(cut, lambda pieces: F.concat(*(joined(pieces, m) for m in range(missed + 1))))
     return F.filter(made, lambda p: F.length(p).between(*lengths))
 
 
@@ -74,32 +79,32 @@ def _ion(series: str, charge: int):
 
 def ladder(masses: Column, series: str, charges: tuple[int, ...]) -> Column:
     """array<struct<mz,ion_series,ion_position,charge>>: prefix (b) and suffix (y) ions 1..n-1 of each charge."""
-    n = F.size(masses)
-    parts = []
-    for ion in series:
-        if ion not in "by":
-            raise ValueError(f"ion series are b and y, not {ion}")
-        held = masses if ion == "b" else F.reverse(masses)
+    if odd := set(series) - set("by"):
+        raise ValueError(f"ion series are b and y, not {', '.join(sorted(odd))}")
+
+    def ions(held, ion):
         start = 0.0 if ion == "b" else WATER
-        sums = F.aggregate(F.slice(held, 1, n - 1), F.array(F.lit(start)), lambda acc, m: F.concat(acc, F.array(F.element_at(acc, -1) + m)))
-        for z in charges:
-            parts.append(F.transform(F.slice(sums, 2, n), _ion(ion, z)))
-    return F.when(n > 1, F.concat(*parts))
+        sums = F.aggregate(F.slice(held, 1, F.size(held) - 1), F.array(F.lit(start)), lambda acc, m: F.concat(acc, F.array(F.element_at(acc, -1) + m)))
+        return let(sums, lambda s: F.concat(*(F.transform(F.slice(s, 2, F.size(s)), _ion(ion, z)) for z in charges)))
+
+    return let(masses, lambda m: F.when(F.size(m) > 1, F.concat(*(ions(m if ion == "b" else F.reverse(m), ion) for ion in series))))
 
 
 def reverse_interior(sequence: Column) -> Column:
     """First and last residue in place, those between reversed; modifications travel with their residue. Self-inverse."""
-    t = tokens(sequence)
-    n = F.size(t)
-    turned = F.concat(F.slice(t, 1, 1), F.reverse(F.slice(t, 2, n - 2)), F.slice(t, n, 1))
-    return F.when(n < 3, sequence).otherwise(F.array_join(turned, ""))
+
+    def turned(t):
+        n = F.size(t)
+        return F.array_join(F.concat(F.slice(t, 1, 1), F.reverse(F.slice(t, 2, n - 2)), F.slice(t, n, 1)), "")
+
+    return let(tokens(sequence), lambda t: F.when(F.size(t) < 3, sequence).otherwise(turned(t)))
 
 
 def undo_permutation(sequence: Column, permutation: list[int]) -> Column:
     """The target of a decoy whose residue i came from the target's residue permutation[i]."""
     t = tokens(sequence)
     inverse = sorted(range(len(permutation)), key=permutation.__getitem__)
-    return F.array_join(F.transform(F.array(*(F.lit(i + 1) for i in inverse)), lambda i: F.element_at(t, i)), "")
+    return let(t, lambda held: F.array_join(F.transform(F.array(*(F.lit(i + 1) for i in inverse)), lambda i: F.element_at(held, i)), ""))
 
 
 def strip_global_mods(sequence: Column) -> Column:

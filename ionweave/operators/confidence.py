@@ -88,7 +88,7 @@ def rescore(psms: DataFrame, train_fdr: float = 0.01, rounds: int = 2, folds: in
     filled = psms.select("*", *(F.coalesce(F.col(f"`{n}`").cast("double"), F.lit(0.0)).alias(f"_f{i}") for i, n in enumerate(names)))
     packed = VectorAssembler(inputCols=[f"_f{i}" for i in range(len(names))], outputCol="_raw").transform(filled).drop(*(f"_f{i}" for i in range(len(names))))
     scaled = StandardScaler(inputCol="_raw", outputCol="_x", withMean=True).fit(packed).transform(packed).drop("_raw")
-    data = scaled.withColumn("_fold", F.pmod(F.xxhash64("target_pair"), F.lit(folds))).withColumn("svm_score", F.col(start).cast("double"))
+    data = scaled.withColumn("_fold", F.pmod(F.xxhash64("target_pair"), F.lit(folds))).withColumn("svm_score", F.col(start).cast("double")).persist()
     for _ in range(rounds):
         judged = q_values(data, "svm_score", "is_target", "_q").where(~F.col("is_target") | (F.col("_q") <= train_fdr)).withColumn("label", F.col("is_target").cast("double"))
         judged = judged.persist()
@@ -98,15 +98,16 @@ def rescore(psms: DataFrame, train_fdr: float = 0.01, rounds: int = 2, folds: in
             if train.select("label").distinct().count() < 2:
                 scored.append(held)
                 continue
-            model = LinearSVC(featuresCol="_x", labelCol="label", rawPredictionCol="_out", predictionCol="_p", regParam=0.01, maxIter=30).fit(train)
+            model = LinearSVC(featuresCol="_x", labelCol="label", rawPredictionCol="_out", predictionCol="_p", regParam=0.01, maxIter=15).fit(train)
             made = model.transform(held).withColumn("svm_score", vector_to_array("_out")[1]).drop("_out", "_p")
             spread = made.where(~F.col("is_target")).agg(F.avg("svm_score"), F.stddev_pop("svm_score")).first()
             centre, scale = spread[0] or 0.0, spread[1] or 1.0
             scored.append(made.withColumn("svm_score", (F.col("svm_score") - centre) / scale))
-        judged.unpersist()
-        data = scored[0]
+        merged = scored[0]
         for part in scored[1:]:
-            data = data.unionByName(part)
+            merged = merged.unionByName(part)
+        judged.unpersist()
+        data = merged.persist()
     return data.drop("_x", "_fold")
 
 

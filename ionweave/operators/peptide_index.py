@@ -33,19 +33,20 @@ def precursors(sequences: DataFrame, config: IndexConfig, modified: bool = False
 
 
 def with_decoys(targets: DataFrame, config: IndexConfig) -> DataFrame:
-    """(peptide, decoy): targets, and each with its interior reversed. A decoy that equals a target is left out, or
-    stays as a target if the configuration keeps it."""
+    """(peptide, decoy, origin): targets, and each with its interior reversed. A decoy that equals a target is left out,
+    or stays as a target of its own if the configuration keeps it."""
     turned = targets.select(pep.reverse_interior(F.col("peptide")).alias("peptide")).distinct()
-    fresh = turned.join(targets.select("peptide"), "peptide", "left_anti").withColumn("decoy", F.lit(True))
-    every = targets.select("peptide", F.lit(False).alias("decoy")).unionByName(fresh)
+    fresh = turned.join(targets.select("peptide"), "peptide", "left_anti").select("peptide", F.lit(True).alias("decoy"), F.lit("decoy").alias("origin"))
+    every = targets.select("peptide", F.lit(False).alias("decoy"), F.lit("target").alias("origin")).unionByName(fresh)
     if config.keep_colliding_decoys:
-        every = every.unionByName(turned.join(targets.select("peptide"), "peptide", "left_semi").withColumn("decoy", F.lit(False)))
+        same = turned.join(targets.select("peptide"), "peptide", "left_semi")
+        every = every.unionByName(same.select("peptide", F.lit(False).alias("decoy"), F.lit("collision").alias("origin")))
     return every
 
 
-def sequence_id(proforma, decoy):
-    """A 63-bit id that follows from the peptide alone: no global sort, no numbering job, the same on every run."""
-    return F.shiftrightunsigned(F.xxhash64(proforma, decoy.cast("int")), 1)
+def sequence_id(proforma, origin):
+    """60 bits of the md5 of peptide and origin: no global sort, no numbering job, the same on every run and engine."""
+    return F.conv(F.substring(F.md5(F.concat(proforma, origin).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 class PeptideIndex:
@@ -59,7 +60,7 @@ class PeptideIndex:
         """targets: distinct sequences in column `peptide`; modified if they may hold bracketed modifications."""
         every = with_decoys(targets.select("peptide").distinct(), config)
         made = precursors(every, config, modified)
-        made = made.withColumn("seq_id", sequence_id(F.col("seq_proforma"), F.col("decoy")))
+        made = made.withColumn("seq_id", sequence_id(F.col("seq_proforma"), F.col("origin")))
         seqs = made.select("seq_id", "seq_mz", "seq_proforma", "decoy")
         steps = made.select("seq_id", F.col("seq_mz").alias("precursor_mz"), F.explode(pep.ladder(F.col("masses"), config.ion_series, config.ion_charges)).alias("f"))
         frags = steps.select("f.mz", "f.ion_series", "f.ion_position", "seq_id", "precursor_mz").where((F.col("mz") > FRAGMENT_RANGE[0]) & (F.col("mz") < FRAGMENT_RANGE[1]))

@@ -78,3 +78,9 @@ def mz_bins(df: DataFrame, keys: list[str], mz: str, intensity: str, width: floa
     """(keys, mz, intensity): intensity summed per bin; the bin of a value is the nearest multiple, halves to even."""
     step = F.rint((F.col(mz) + offset) / width)
     return df.groupBy(*keys, step.alias("_bin")).agg(F.sum(intensity).alias(intensity)).select(*keys, (F.col("_bin") * width - offset).alias(mz), intensity)
+
+
+def rolling_max_rows(df: DataFrame, keys: list[str], order: list, value: str, window: int, name: str = "rolling_max") -> DataFrame:
+    """df with the maximum of a row and those after it; rows without a full window go."""
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(0, window - 1)
+    return df.withColumn("_full", F.count(F.lit(1)).over(w)).withColumn(name, F.max(value).over(w)).where(F.col("_full") == window).drop("_full")
