@@ -5,15 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ionweave.functions.binding import let
-
 NGRAM = 4
 
 
 def ngrams(sequence: Column, n: int = NGRAM) -> Column:
     """Distinct n-grams of a sequence; none if it is shorter."""
-    grams = lambda s: F.transform(F.sequence(F.lit(1), F.length(s) - n + 1), lambda i: s.substr(i, F.lit(n)))
-    return let(sequence, lambda s: F.when(F.length(s) >= n, F.array_distinct(grams(s))).otherwise(F.array().cast("array<string>")))
+    return F.array_distinct(F.regexp_extract_all(sequence, F.lit(f"(?=(.{{{n}}}))"), F.lit(1)))
 
 
 def ngram_index(proteins: DataFrame, n: int = NGRAM) -> DataFrame:

@@ -22,6 +22,7 @@ from ionweave.operators import graph, impute, ngram, ranking
 from ionweave.operators.peptide_index import PeptideIndex, peptides, precursors
 from ionweave.operators.scoring import hyperscore
 from ionweave.plans.window_search import window_search
+from ionweave.sources.tables import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,10 +38,6 @@ def query(sql: str | None = None):
     return keep
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 # ---- scans, filters, peak lists -------------------------------------------------------------------------------------
 
 
@@ -307,7 +304,7 @@ PSEUDO = SearchConfig(db_max_missed_cleavages=0, precursor_charges=(2,), ion_cha
 
 
 def _proteins(spark, sf):
-    return table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("accession"), "doc_id", pep.clean_protein(F.coalesce("text", F.lit(""))).alias("sequence"))
+    return spread(table(spark, sf, "documents").select("doc_id", "text")).select(F.col("doc_id").cast("string").alias("accession"), "doc_id", pep.clean_protein(F.coalesce("text", F.lit(""))).alias("sequence"))
 
 
 _LETTERS = "".join(pep.RESIDUES)
@@ -442,13 +439,13 @@ def hyperscore_topn(spark, sf):
 
 @query()
 def dia_greedy_search(spark, sf):
-    """Rows only: the greedy search has no SQL. Twenty windows of 30 Th, sixty scans each."""
-    rows = table(spark, sf, "lineitem").select((F.col("l_suppkey") % 20).alias("w"), (F.col("l_orderkey") % 60).cast("double").alias("rt"), (F.col("l_extendedprice") / 50).alias("mz"), (F.col("l_quantity") * 100).alias("i"))
+    """Rows only: the greedy search has no SQL. Twenty windows of 30 Th, twelve scans each."""
+    rows = table(spark, sf, "lineitem").select((F.col("l_suppkey") % 20).alias("w"), (F.col("l_orderkey") % 12).cast("double").alias("rt"), (F.col("l_extendedprice") / 50).alias("mz"), (F.col("l_quantity") * 100).alias("i"))
     peaks = F.array_sort(F.collect_list(F.struct("mz", "i")))
     low = (F.lit(400) + 30 * F.col("w")).cast("double")
     scans = rows.groupBy("w", "rt").agg(peaks.alias("p"))
     raw = scans.select(F.col("rt").alias("rt_values"), low.alias("quad_low_mz_values"), (low + 30).alias("quad_high_mz_values"), F.col("p.mz").alias("mz_values"), F.col("p.i").alias("corrected_intensity_values"), F.lit(None).cast("array<double>").alias("mobility_values"))
-    config = SearchConfig(db_max_missed_cleavages=0, precursor_charges=(2,), ion_charges=(1,), run_allowed_fails=50)
+    config = SearchConfig(db_max_missed_cleavages=0, precursor_charges=(2,), ion_charges=(1,), run_allowed_fails=50, g_tolerances=(20.0, 0.5), g_tolerance_units=("ppm", "da"))
     return window_search(raw, PeptideIndex.from_proteins(_proteins(spark, sf), config), config)
 
 
