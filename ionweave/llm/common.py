@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -78,3 +80,12 @@ def dense_offsets(numbered: DataFrame, key: str, part: str = "_pid") -> DataFram
     counts = numbered.groupBy(part, key).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(key).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     return counts.select(part, key, F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("long").alias("_base"))
+
+
+def per_process(key: tuple, make):
+    """What make() gives, made once per worker process: tasks after the first find it again. Functions travel by value,
+    so a global of this module would be a new one in every task."""
+    held = sys.modules.setdefault("ionweave_worker_state", types.ModuleType("ionweave_worker_state")).__dict__
+    if key not in held:
+        held[key] = make()
+    return held[key]

@@ -19,10 +19,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dense_offsets, id_text, store
+from .common import dense_offsets, id_text, per_process, store
 
 CAPACITY, SEPARATOR = 2048, 0
-#: Distinct words whose ids a task keeps; beyond that it starts anew.
+#: Distinct words whose ids a worker process keeps; beyond that it starts anew.
 CACHED_WORDS = 300_000
 
 
@@ -32,32 +32,97 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _byte_letters() -> dict[int, str]:
+    """Byte-level alphabet of public BPE vocabularies: printable bytes stand for themselves, the others for 256 and on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {**{b: chr(b) for b in shown}, **{b: chr(256 + i) for i, b in enumerate(hidden)}}
+
+
+def _joins_nothing_over_blanks(spec: dict) -> bool:
+    """Whether a tokenizer parts words at white space, drops it, and marks word ends; then words can be encoded singly."""
+    steps = [x["type"] for x in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+    first = spec["pre_tokenizer"]["pretokenizers"][0] if steps == ["Split", "ByteLevel"] else {}
+    norms = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+    return spec["model"].get("end_of_word_suffix") == "</w>" and first.get("behavior") == "Removed" and first.get("invert") is True and norms == ["NFC", "Replace", "Lowercase"]
+
+
 def word_encoder(path: str, cached_words: int = CACHED_WORDS):
     """encode(texts) -> for each text its ids as little-endian unsigned 32-bit bytes.
 
-    The tokenizer drops white space and never joins what a space or newline parts, so a text's ids are those of its
-    chunks in turn; each different chunk is encoded once."""
-    from tokenizers import Tokenizer
-
-    tokenizer, known = Tokenizer.from_file(path), {}
+    A tokenizer that never joins what white space parts gives a text's ids as those of its words in turn: each
+    different word is encoded once and looked up from then on. Words of letters only, in lower case, go straight to
+    the merges, many at a time, and are parted again by the word-end mark; a comma or stop after a letter is a token of
+    its own. All other words pass the whole tokenizer, and so does every text if the tokenizer is of another kind."""
+    import json
+    import os
+    import unicodedata
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    tokenizer = Tokenizer.from_file(path)
+    ids_of = lambda texts: [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    if not _joins_nothing_over_blanks(spec):
+        return ids_of
+    merges = Tokenizer(tokenizer.model)
+    merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    ends = np.zeros(tokenizer.get_vocab_size(), dtype=bool)
+    ends[[i for t, i in spec["model"]["vocab"].items() if t.endswith("</w>")]] = True
+    del spec
+    letters = _byte_letters()
+    known: dict[str, bytes] = {}
+
+    def plain(w: str) -> bool:
+        if w.isascii():
+            return w.isalpha() and w.islower()
+        return w.isalpha() and w == w.lower() and unicodedata.is_normalized("NFC", w)
+
+    def learn(words: list[str]) -> None:
+        fast = [w for w in words if plain(w)]
+        rest = [w for w in words if not plain(w)]
+        known.update(zip(rest, ids_of(rest)))
+        for at in range(0, len(fast), 256):
+            some = fast[at : at + 256]
+            spelled = " ".join([w if w.isascii() else "".join([letters[b] for b in w.encode()]) for w in some])
+            ids = np.array(merges.encode(spelled, add_special_tokens=False).ids, dtype="<u4")
+            raw, start = ids.tobytes(), 0
+            for w, stop in zip(some, (4 * (np.flatnonzero(ends[ids]) + 1)).tolist()):
+                known[w] = raw[start:stop]
+                start = stop
 
     def encode(texts: list[str]) -> list[bytes]:
         if len(known) > cached_words:
             known.clear()
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        fresh = list({w for p in parts for w in p if w not in known})
-        for at in range(0, len(fresh), 8192):
-            some = fresh[at : at + 8192]
-            for w, e in zip(some, tokenizer.encode_batch(some, add_special_tokens=False)):
-                known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return [b"".join([known[w] for w in p]) for p in parts]
+        words, counts = [], []
+        for t in texts:
+            own = (t if "<|" in t else t.encode().lower().decode()).replace("\n", " ").split(" ")  # A-Z are lower-cased either way
+            words += own
+            counts.append(len(own))
+        found = list(map(known.get, words))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        if missing:
+            fresh = {words[i] for i in missing}
+            tailed = {w: w[:-1] for w in fresh if w[-1:] in (",", ".") and (c := w[-2:-1]).isalpha() and c == c.lower()}
+            learn([w for w in {*(fresh - tailed.keys()), *tailed.values(), ",", "."} if w not in known])
+            for w, core in tailed.items():
+                known[w] = known[core] + known[w[-1]]
+            for i in missing:
+                found[i] = known[words[i]]
+        out, at = [], 0
+        for n in counts:
+            out.append(b"".join(found[at : at + n]))
+            at += n
+        return out
 
     return encode
 
 
 def _pieces(path: str, capacity: int, separator: int):
     def run(batches):
-        pid, encode, seen = TaskContext.get().partitionId(), word_encoder(path), np.zeros(capacity + 1, dtype=np.int64)
+        pid, encode, seen = TaskContext.get().partitionId(), per_process(("encoder", path), lambda: word_encoder(path)), np.zeros(capacity + 1, dtype=np.int64)
         end = np.array([separator], dtype="<u4").tobytes()
         for b in batches:
             for at in range(0, b.num_rows, 256):
