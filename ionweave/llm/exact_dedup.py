@@ -81,6 +81,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def keep_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the copies that the index drops; columns as they came."""
-    drop = exact_duplicates(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("_drop")).distinct()
-    return docs.join(drop, role(docs, id_col, "long").eqNullSafe(drop["_drop"]), "left_anti")
+    """docs without the copies that the index drops; columns as they came. Rows are told apart by id and text."""
+    drop = exact_duplicates(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("_drop"), F.col("text_sha256").alias("_digest")).distinct()
+    digest = F.sha2(ascii_lower(F.coalesce(role(docs, text_col, "string"), F.lit(""))).cast("binary"), 256)
+    return docs.join(drop, role(docs, id_col, "long").eqNullSafe(drop["_drop"]) & (digest == drop["_digest"]), "left_anti")

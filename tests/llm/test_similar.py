@@ -1,0 +1,208 @@
+"""SimHash, substring dedup and decontamination against brute force."""
+
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from ionweave.llm import components as cc
+from ionweave.llm import decontaminate as dc
+from ionweave.llm import simhash as sm
+from ionweave.llm import substring_dedup as sd
+
+
+def union_find(nodes, edges):
+    parent = {n: n for n in nodes}
+
+    def find(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+    return {n: find(n) for n in nodes}
+
+
+def test_components(spark):
+    rng = random.Random(3)
+    edges = [(i, i + 1) for i in range(60)] + [(rng.randrange(100, 400), rng.randrange(100, 400)) for _ in range(220)] + [(7, 7)]
+    nodes = {n for a, b in edges if a != b for n in (a, b)}
+    got = {r["node"]: r["root"] for r in cc.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == union_find(nodes, edges)
+    assert cc.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def brute_print(text):
+    words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
+    if not words:
+        return 0
+    shingles = [b" ".join(words[i : i + 4]) for i in range(len(words) - 3)] or [b" ".join(words)]
+    h = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_fingerprints_and_components(awkward, empty):
+    rows = [(r["doc_id"], r["text"]) for r in awkward.select("doc_id", "text").collect()]
+    got = Counter((r["doc_id"], r["fp"] & (1 << 64) - 1) for r in sm.near_duplicates(awkward).collect())
+    assert got == Counter((d, brute_print(t)) for d, t in rows)
+    assert sm.near_duplicates(empty).count() == 0
+    kept = sm.keep_one(awkward)
+    assert kept.columns == awkward.columns and 0 < kept.count() < awkward.count()
+
+
+@pytest.mark.parametrize("radius,long_list", [(4, 4096), (4, 3), (3, 4096), (2, 3), (1, 4096), (0, 4096)])
+def test_links_have_the_components_of_all_pairs(spark, radius, long_list):
+    rng = random.Random(radius)
+    values = set()
+    for _ in range(40):
+        centre = rng.getrandbits(64)
+        for _ in range(rng.randrange(1, 12)):
+            x = centre
+            for _ in range(rng.randrange(0, 6)):
+                x ^= 1 << rng.randrange(64)
+            values.add(x)
+    values = sorted(values)
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    edges = [(a, b) for i, a in enumerate(values) for b in values[i + 1 :] if (a ^ b).bit_count() <= radius]
+    lists = long_list if radius % 2 == 0 else 1 << 62
+    found = [tuple(r) for r in sm.links(spark.createDataFrame([(v,) for v in signed], "fp long"), radius, lists).collect()]
+    found = [(a & (1 << 64) - 1, b & (1 << 64) - 1) for a, b in found]
+    assert all((a ^ b).bit_count() <= radius for a, b in found)
+    assert union_find(values, found) == union_find(values, edges)
+
+
+def planted(n_docs=40):
+    """Texts with passages of 60 words that two or more share, exactly or with one word in thirty changed."""
+    rng = random.Random(11)
+    fresh = lambda n: [f"t{rng.randrange(10**6)}" for _ in range(n)]
+    docs = {i: fresh(rng.randrange(80, 300)) for i in range(n_docs)}
+    shared = set()
+    for k in range(8):
+        passage = fresh(64)
+        for j, i in enumerate(rng.sample(range(0, n_docs - 10), 2 if k else 25)):
+            own = list(passage)
+            if k % 2 and j:
+                own[32] = "changed"
+            at = rng.choice((0, len(docs[i])))  # never inside another passage
+            docs[i][at:at] = own
+            shared.add(i)
+    return {i: " ".join(w) for i, w in docs.items()}, shared
+
+
+def test_planted_passages(spark, awkward, empty):
+    docs, shared = planted()
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    for all_pairs in (16, 3):
+        found = {r["doc_id"]: r for r in sd.repeated_passages(df, all_pairs=all_pairs).collect()}
+        assert set(found) == shared
+        assert all(r["n_words"] >= 50 and r["links"] >= 1 for r in found.values())
+    assert sd.repeated_passages(empty).count() == 0
+    ids = {r["doc_id"] for r in sd.repeated_passages(awkward).collect()}
+    assert {12, 15, 18} <= ids and None not in ids and 21 not in ids
+
+
+def test_compact_windows_are_the_sliding_minima():
+    h = sd.shingle_hashes(b" ".join(b"%d" % (i * i % 97) for i in range(200)))
+    v, first, last = sd.compact_windows(h, 20, 2)
+    for f in range(2):
+        own = [(x, a, b) for x, a, b in zip(v.tolist(), first.tolist(), last.tolist()) if x & 7 == f]
+        covered = {}
+        for x, a, b in own:
+            assert b - a + 1 >= 20
+            for s in range(a, b - 20 + 2):
+                covered[s] = x
+        mixed = (sd._mix(h ^ np.uint64((f + 1) * 0x632BE59BD9B4E019 & (1 << 64) - 1)) << np.uint64(3) | np.uint64(f)).tolist()
+        assert covered == {s: min(mixed[s : s + 20]) for s in range(len(h) - 19)}
+    assert [len(c) for c in sd.compact_windows(h[:5], 20)] == [0, 0, 0]
+
+
+def test_similar_runs_meet_the_brute_force_threshold():
+    rng = np.random.default_rng(5)
+    for _ in range(30):
+        x = rng.integers(0, 40 if _ % 3 == 0 else 10**6, 90).astype(np.int32)
+        y = x[10:80].copy()
+        y[rng.random(70) < 0.06] = -1
+        best = 0.0
+        for i in range(90 - 20 + 1):
+            for j in range(70 - 20 + 1):
+                both = sum((Counter(x[i : i + 20].tolist()) & Counter(y[j : j + 20].tolist())).values())
+                best = max(best, both / (40 - both))
+        found = sd.similar_runs(x, y, 20, 0.8)
+        if found:
+            assert best >= 0.8 and max(f[4] for f in found) <= best + 1e-9
+        elif _ % 3:
+            assert best < 0.8
+
+
+def brute_contamination(docs, items, similarity=0.8):
+    words = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
+    shingles = lambda w, n: [tuple(w[i : i + n]) for i in range(len(w) - n + 1)]
+    out = {}
+    for d, t in docs:
+        w = words(t)
+        for i, u in items:
+            q = words(u)
+            if not q or not w:
+                continue
+            n = min(5, len(q))
+            a, best = Counter(shingles(q, n)), 0.0
+            for s in range(max(1, len(w) - len(q) + 1)):
+                b = Counter(shingles(w[s : s + len(q)], n))
+                both = sum((a & b).values())
+                best = max(best, both / (sum(a.values()) + sum(b.values()) - both))
+            if best >= similarity:
+                out[d, i] = max(out.get((d, i), 0), best)
+    return out
+
+
+def test_decontamination(spark, empty):
+    rng = random.Random(2)
+    fresh = lambda n: [f"q{rng.randrange(10**5)}" for _ in range(n)]
+    items = [(k, fresh(n)) for k, n in enumerate((40, 25, 60, 12, 3, 40))] + [(90, fresh(30) * 2)]
+    items[5] = (5, items[0][1][:30] + fresh(10))
+    docs = []
+    for d in range(40):
+        w = fresh(rng.randrange(20, 90))
+        if d % 3 == 0:
+            own = list(items[d % 7][1])
+            if d % 6 == 0:
+                own[0] = "other"
+            if d % 9 == 0 and len(own) > 30:
+                del own[len(own) - 1]
+            if d % 12 == 0 and len(own) > 50:
+                own.insert(2, "more")
+            at = rng.randrange(len(w))
+            w[at:at] = own
+        docs.append((d, " ".join(w).upper() if d % 2 else ", ".join(w)))
+    docs += [(100, None), (101, ""), (102, " ".join(items[0][1][:36])), (103, " ".join(items[4][1]))]
+    bench = [(k, " ".join(w)) for k, w in items] + [(50, ""), (51, None)]
+    df, bf = spark.createDataFrame(docs, "doc_id long, text string").withColumn("m", F.lit(1)), spark.createDataFrame(bench, "item_id long, text string")
+    expected = brute_contamination(docs, bench)
+    found = dc.contaminated(df, bf)
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in found.collect()}
+    assert set(got) == set(expected) and len(got) > 10
+    assert all(abs(got[k] - expected[k]) < 1e-9 for k in got)
+    kept = dc.drop_contaminated(df, bf)
+    assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {d for d, _ in docs} - {d for d, _ in expected}
+    assert dc.contaminated(empty, bf).count() == 0 and dc.contaminated(df, bf.where("item_id < 0")).count() == 0
+
+
+def test_decontamination_by_shuffle_joins(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a b c d e f g h i j k l"), (2, "nothing of the kind")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, "C d e f g h i J")], "item_id long, text string")
+    monkeypatch.setattr(dc, "BROADCAST_ROWS", 0)
+    assert [tuple(r)[:5] for r in dc.contaminated(docs, bench).collect()] == [(1, 7, 2, 8, 0)]
+
+
+def test_awkward_documents(awkward, spark):
+    bench = spark.createDataFrame([(1, "one two three"), (2, "The same long line of at least forty characters, again.")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in dc.contaminated(awkward, bench).collect()}
+    assert (27, 1) in got and (30, 2) in got and len([g for g in got if g[1] == 2]) >= 10
