@@ -76,3 +76,13 @@ def valid_spectrum(mz: Column, intensity: Column, mobility: Column | None = None
     """Arrays of one length, m/z ascending."""
     ok = (F.size(mz) == F.size(intensity)) & is_sorted(mz)
     return ok if mobility is None else ok & (F.size(mz) == F.size(mobility))
+
+
+def file_stem(path: Column) -> Column:
+    """Last part of a path without its suffix."""
+    return F.regexp_replace(F.regexp_extract(path, "([^/]*)/*$", 1), r"(?<=.)\.[^.]*$", "")
+
+
+def summary(values: str) -> list[Column]:
+    """Smallest, largest and number of a column's values."""
+    return [F.min(values).alias("low"), F.max(values).alias("high"), F.count(values).alias("n")]

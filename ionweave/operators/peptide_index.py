@@ -78,6 +78,10 @@ class PeptideIndex:
         """The part with precursors in the closed range."""
         return PeptideIndex(self.seqs.where(F.col("seq_mz").between(low, high)), self.frags.where(F.col("precursor_mz").between(low, high)), self.config, self.name)
 
+    def fragments_between(self, low: float, high: float) -> DataFrame:
+        """Fragments in the closed m/z range."""
+        return self.frags.where(F.col("mz").between(low, high))
+
     def write(self, path: str) -> None:
         """Fragments are partitioned by precursor bin, so that a window reads its own files only."""
         self.seqs.write.mode("overwrite").parquet(f"{path}/seqs.parquet")

@@ -21,6 +21,7 @@ from ionweave.operators import deisotope as iso
 from ionweave.operators import graph, impute, ngram, ranking
 from ionweave.operators.peptide_index import PeptideIndex, peptides, precursors
 from ionweave.operators.scoring import hyperscore
+from ionweave.operators.seeds import seed_neighbours
 from ionweave.plans.window_search import window_search
 from ionweave.sources.tables import spread, table
 
@@ -197,6 +198,15 @@ def asof_next_scan(spark, sf):
     return bj.nearest_after(events.where("event_type = 'click'").select("event_id", "user_id", "ts"), errors, "ts", "ts", ["next_error"], "user_id").select("event_id", "next_error")
 
 
+@query("""
+WITH p AS (SELECT user_id, event_id, value, epoch_us(ts) / 1e6 AS sec, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS r, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+     e AS (SELECT a.user_id AS user_id, a.event_id AS x, b.event_id AS y FROM p a JOIN p b ON a.user_id = b.user_id AND a.r <= greatest(5, floor(a.n * 0.2::DOUBLE)) AND abs(b.value - a.value) <= 1.005::DOUBLE AND abs(b.sec - a.sec) <= 259200)
+SELECT user_id, x AS "left", y AS "right" FROM e UNION SELECT user_id, y, x FROM e UNION SELECT user_id, event_id, event_id FROM p""")
+def seed_neighbourhoods(spark, sf):
+    peaks = table(spark, sf, "events").select("user_id", F.col("event_id").alias("peak_id"), F.col("value").alias("mz"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("mobility"), F.col("value").alias("intensity"))
+    return seed_neighbours(peaks, 5, 0.2, 259200.0, 1.005, spectrum="user_id")
+
+
 # ---- windows, ranks, segments ---------------------------------------------------------------------------------------
 
 

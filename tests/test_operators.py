@@ -172,3 +172,21 @@ def test_factor_product(spark):
     left = spark.createDataFrame([("a", 0, 2.0), ("a", 1, 3.0)], "row string, factor int, weight double")
     right = spark.createDataFrame([("x", 0, 5.0), ("x", 1, 7.0)], "run string, factor int, weight double")
     assert impute.factor_product(left, right).first()["value"] == 31.0
+
+
+def test_seed_neighbours(spark):
+    from ionweave.functions.peaks import file_stem, summary
+    from ionweave.operators.seeds import seed_neighbours
+
+    rng = random.Random(9)
+    rows = [(1, i, rng.uniform(100, 103), rng.uniform(0.5, 0.7), rng.uniform(1, 100)) for i in range(80)]
+    df = spark.createDataFrame(rows, "spec_id int, peak_id int, mz double, mobility double, intensity double")
+    top = {r[1] for r in sorted(rows, key=lambda r: -r[4])[:16]}
+    expected = {(i, i) for i in range(80)}
+    for i in top:
+        for j in range(80):
+            if abs(rows[j][2] - rows[i][2]) <= 0.2 and abs(rows[j][3] - rows[i][3]) <= 0.02:
+                expected |= {(i, j), (j, i)}
+    assert {(r["left"], r["right"]) for r in seed_neighbours(df, 10, 0.2, 0.02, 0.2).collect()} == expected
+    assert spark.range(1).select(file_stem(F.lit("/a/b.c/run.one.mzML"))).first()[0] == "run.one"
+    assert tuple(df.agg(*summary("peak_id")).first()) == (0, 79, 80)

@@ -141,6 +141,20 @@ def test_window_search_recalls_simulated_peptides(spark, index, ims):
     assert ws.window_search(run.where("rt_values < 0"), index, SearchConfig(), ims=ims).count() == 0
 
 
+def test_relational_stack_equals_the_kernel(spark, index):
+    from ionweave.plans.feature_stack import stack_features
+
+    run = simulated_run(spark, [p for p in ELUTING if p in ALBUMIN])
+    groups = spectra.scan_groups(run)
+    rows = groups.orderBy("scan").collect()
+    state = ws.WindowState(np.arange(len(rows)), *([np.array([p[c] for p in r["peaks"]]) for r in rows] for c in ("mz", "intensity")), None, SearchConfig())
+    feature = state.stack(int(state.heights.argmax()))
+    got = sorted(stack_features(groups, SearchConfig()).collect(), key=lambda r: r["centre_mz"])
+    assert [r["centre_mz"] for r in got] == feature.mz.tolist() and [r["is_ref"] for r in got].index(True) == feature.ref
+    assert np.allclose([r["correlation"] for r in got], feature.correlations) and np.allclose([r["trace"] for r in got], feature.traces)
+    assert index.fragments_between(300, 400).agg(F.max("mz")).first()[0] <= 400
+
+
 def test_frames_at_the_ends():
     assert [ws.frame(*x) for x in ((4, 3, 7), (1, 3, 7), (6, 3, 7), (0, 21, 5))] == [(3, 6, 1), (0, 3, 1), (4, 7, 2), (0, 5, 0)]
     x = np.stack([np.cos(0.1 * k + np.arange(20) / 20) for k in range(10)])
