@@ -19,8 +19,12 @@ PRECURSOR_BIN = 25.0
 
 def peptides(proteins: DataFrame, config: IndexConfig, sequence: str = "sequence") -> DataFrame:
     """(peptide): distinct peptides of an in-silico digest."""
+    return _cut(proteins, config, sequence).distinct()
+
+
+def _cut(proteins: DataFrame, config: IndexConfig, sequence: str) -> DataFrame:
     made = pep.digest(F.col(sequence), config.db_enzyme, config.db_max_missed_cleavages, config.peptide_length_range)
-    return proteins.select(F.explode(made).alias("peptide")).distinct()
+    return proteins.select(F.explode(made).alias("peptide"))
 
 
 def precursors(sequences: DataFrame, config: IndexConfig, modified: bool = False) -> DataFrame:
@@ -33,15 +37,18 @@ def precursors(sequences: DataFrame, config: IndexConfig, modified: bool = False
 
 
 def with_decoys(targets: DataFrame, config: IndexConfig) -> DataFrame:
-    """(peptide, decoy, origin): targets, and each with its interior reversed. A decoy that equals a target is left out,
-    or stays as a target of its own if the configuration keeps it."""
-    turned = targets.select(pep.reverse_interior(F.col("peptide")).alias("peptide")).distinct()
-    fresh = turned.join(targets.select("peptide"), "peptide", "left_anti").select("peptide", F.lit(True).alias("decoy"), F.lit("decoy").alias("origin"))
-    every = targets.select("peptide", F.lit(False).alias("decoy"), F.lit("target").alias("origin")).unionByName(fresh)
-    if config.keep_colliding_decoys:
-        same = turned.join(targets.select("peptide"), "peptide", "left_semi")
-        every = every.unionByName(same.select("peptide", F.lit(False).alias("decoy"), F.lit("collision").alias("origin")))
-    return every
+    """(peptide, decoy, origin): targets, repeats or not, and each with its interior reversed. A decoy that equals a
+    target is left out, or stays as a target of its own if the configuration keeps it.
+
+    Both kinds are made in one pass and meet in one aggregate, which tells the collisions and removes the repeats."""
+    own = F.struct(F.col("peptide"), F.lit(True).alias("target"))
+    turned = F.struct(pep.reverse_interior(F.col("peptide")).alias("peptide"), F.lit(False).alias("target"))
+    met = targets.select(F.explode(F.array(own, turned)).alias("p")).groupBy("p.peptide").agg(F.max("p.target").alias("_t"), F.min("p.target").alias("_all"))
+    if not config.keep_colliding_decoys:
+        return met.select("peptide", (~F.col("_t")).alias("decoy"), F.when(F.col("_t"), F.lit("target")).otherwise(F.lit("decoy")).alias("origin"))
+    both = F.array(F.lit("target"), F.lit("collision"))
+    origin = F.when(~F.col("_t"), F.array(F.lit("decoy"))).when(F.col("_all"), F.array(F.lit("target"))).otherwise(both)
+    return met.select("peptide", (~F.col("_t")).alias("decoy"), F.explode(origin).alias("origin"))
 
 
 def sequence_id(proforma, origin):
@@ -57,8 +64,8 @@ class PeptideIndex:
 
     @classmethod
     def from_peptides(cls, targets: DataFrame, config: IndexConfig, modified: bool = False, name: str = "") -> PeptideIndex:
-        """targets: distinct sequences in column `peptide`; modified if they may hold bracketed modifications."""
-        every = with_decoys(targets.select("peptide").distinct(), config)
+        """targets: sequences in column `peptide`, repeats count once; modified if they may hold bracketed modifications."""
+        every = with_decoys(targets.select("peptide"), config)
         made = precursors(every, config, modified)
         made = made.withColumn("seq_id", sequence_id(F.col("seq_proforma"), F.col("origin")))
         seqs = made.select("seq_id", "seq_mz", "seq_proforma", "decoy")
@@ -68,7 +75,7 @@ class PeptideIndex:
 
     @classmethod
     def from_proteins(cls, proteins: DataFrame, config: IndexConfig, sequence: str = "sequence") -> PeptideIndex:
-        return cls.from_peptides(peptides(proteins, config, sequence), config)
+        return cls.from_peptides(_cut(proteins, config, sequence), config)
 
     @property
     def targets(self) -> DataFrame:

@@ -7,8 +7,7 @@ import zlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-
-from conftest import ALBUMIN, SAMPLE_PEAKS, SAMPLE_PRECURSOR
+from sample_data import ALBUMIN, SAMPLE_PEAKS, SAMPLE_PRECURSOR
 from ionweave import schema
 from ionweave.config import IndexConfig, SearchConfig
 from ionweave.functions import peptide as pep
