@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 from .common import ascii_lower, id_text, role, store
 
 #: Keys that a bucket may hold before it splits, and the deepest prefix; a bucket at that depth grows instead.
-BUCKET_CAPACITY, MAX_DEPTH = 16_384, 12
+BUCKET_CAPACITY, MAX_DEPTH = 4_096, 16
 
 
 def grow_directory(counts: dict[int, int], capacity: int, depth: int) -> tuple[int, list[int]]:
