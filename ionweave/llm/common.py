@@ -32,10 +32,17 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def store(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """Write df to the shared folder and read it again: lineage is cut, a lost executor costs nothing already written."""
+#: Tasks per core that write a slim table: keys and ids only, so that their files do not become many and tiny.
+SLIM_WAVES = 3
+
+
+def store(df: DataFrame, name: str, partition_by: str | None = None, slim: bool = False) -> DataFrame:
+    """Write df to the shared folder and read it again: lineage is cut, a lost executor costs nothing already written.
+    slim: rows are a few numbers each, so at most SLIM_WAVES tasks per core of the cluster write them."""
     spark = df.sparkSession
     path = new_path(spark, name)
+    if slim:
+        df = df.coalesce(SLIM_WAVES * spark.sparkContext.defaultParallelism)
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -49,6 +56,13 @@ def forget(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def slices(batches, rows: int = 256):
+    """Arrow batches in small parts: a worker holds the Python objects of `rows` texts at a time."""
+    for b in batches:
+        for at in range(0, max(b.num_rows, 1), rows):
+            yield b.slice(at, rows)
+
+
 def role(df: DataFrame, name: str, kind: str | None = None):
     """Column of df by its exact name, so that other columns' names cannot clash."""
     col = df[f"`{name}`"]

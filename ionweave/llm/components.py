@@ -33,10 +33,10 @@ def components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     pairs: long columns a and b; self loops, repeats and nulls count for nothing. Empty pairs give an empty table."""
     spark = pairs.sparkSession
     ends = pairs.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"), F.col(a).alias("_a"), F.col(b).alias("_b"))
-    edges = store(ends.where("_a <> _b").select("u", "v").distinct(), "edges")
+    edges = store(ends.where("_a <> _b").select("u", "v").distinct(), "edges", slim=True)
     mark = _print(edges)
     while mark[0]:
-        after = store(_small_star(_large_star(edges)), "edges")
+        after = store(_small_star(_large_star(edges)), "edges", slim=True)
         now = _print(after)
         forget(spark, edges)
         edges = after

@@ -78,23 +78,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     Null texts are empty; an empty item is held by nobody; a null id is an id like any other. Rows that repeat a
     doc_id are one document. A document shorter than an item is one window. Empty tables give an empty result."""
     spark = docs.sparkSession
-    items = store(_items(benchmark, item_id, item_text), "items")
+    items = store(_items(benchmark, item_id, item_text), "items", slim=True)
     widths = sorted(r[0] for r in items.select("width").distinct().collect())  # at most SHINGLE values
     if not widths:
         return spark.createDataFrame([], "doc_id long, item_id long, start_word int, n_words int, hamming int, similarity double")
     texts = id_text(docs, id_col, text_col)
     worded = texts.select("doc_id", words_of(F.col("text")).alias("words"))
-    item_rows = store(_all_shingles(items, ["item_id", "n_words", "m", F.col("width").alias("own")], widths).where("own = width").drop("own"), "item-shingles")
+    item_rows = store(_all_shingles(items, ["item_id", "n_words", "m", F.col("width").alias("own")], widths).where("own = width").drop("own"), "item-shingles", slim=True)
 
-    hashes = store(item_rows.select("width", "h").distinct(), "item-hashes")
+    hashes = store(item_rows.select("width", "h").distinct(), "item-hashes", slim=True)
     met = store(_all_shingles(worded, ["doc_id", F.size("words").alias("doc_words")], widths).join(_sized(hashes), ["width", "h"]), "met")
     pairs = met.join(item_rows.withColumnRenamed("pos", "item_pos"), ["width", "h"])
     held = pairs.groupBy("doc_id", "item_id").agg(F.count_distinct("pos").alias("_held"), F.max("m").alias("_m")).where(F.col("_held") >= similarity * F.col("_m"))
     enough = pairs.join(held.select(F.col("doc_id").alias("_d"), F.col("item_id").alias("_i")), F.expr("doc_id <=> _d and item_id <=> _i"), "left_semi")
     begin = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("item_pos"), F.col("doc_words") - F.col("n_words")))
-    windows = store(enough.select("doc_id", "n_words", "width", begin.alias("start")).distinct(), "windows")
+    windows = store(enough.select("doc_id", "n_words", "width", begin.alias("start")).distinct(), "windows", slim=True)
 
-    look = store(windows.groupBy(F.col("doc_id").alias("_d")).agg(F.collect_list(F.struct("n_words", "width", "start")).alias("spots")), "look-into")
+    look = store(windows.groupBy(F.col("doc_id").alias("_d")).agg(F.collect_list(F.struct("n_words", "width", "start")).alias("spots")), "look-into", slim=True)
     cut = worded.join(_sized(look), worded["doc_id"].eqNullSafe(F.col("_d"))).select("doc_id", "words", F.explode("spots").alias("w"))
     cut = cut.select("doc_id", "w.*", F.slice("words", F.col("w.start") + 1, F.col("w.n_words")).alias("words"))
     made = None
@@ -102,13 +102,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         part = cut.where(F.col("width") == w).select("doc_id", "n_words", "start", shingles_of(F.col("words"), w).alias("hs"))
         made = part if made is None else made.union(part)
     made = store(made.where(F.size("hs") > 0).withColumn("content", F.xxhash64("n_words", "hs")), "window-shingles")
-    contents = store(made.select("content", "n_words", "hs").dropDuplicates(["content"]), "contents")
+    contents = store(made.select("content", "n_words", "hs").dropDuplicates(["content"]), "contents", slim=True)
     c_rows = contents.select("content", "n_words", F.explode("hs").alias("h"))
 
     left = simhash64(c_rows, ["content", "n_words"]).select("content", "n_words", "fp", F.explode(blocks_of(F.col("fp"), radius)).alias("b"))
     right = simhash64(item_rows, ["item_id", "n_words"]).select("item_id", "n_words", F.col("fp").alias("item_fp"), F.explode(blocks_of(F.col("fp"), radius)).alias("b"))
     apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
-    near = store(left.join(right, ["n_words", "b"]).where(apart <= radius).select("content", "item_id", apart.cast("int").alias("hamming")).distinct(), "near")
+    near = store(left.join(right, ["n_words", "b"]).where(apart <= radius).select("content", "item_id", apart.cast("int").alias("hamming")).distinct(), "near", slim=True)
 
     c_weights = c_rows.groupBy("content", "h").agg(F.count(F.lit(1)).alias("cw"))
     i_weights = item_rows.groupBy("item_id", "h").agg(F.count(F.lit(1)).alias("iw"))
@@ -117,7 +117,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     sizes = item_rows.select(F.col("item_id").alias("_i"), "m").distinct()
     scored = overlap.join(sizes, F.expr("item_id <=> _i")).join(contents.select("content", F.size("hs").alias("cm")), "content")
     scored = scored.select("content", "item_id", "hamming", (F.col("both") / (F.col("cm") + F.col("m") - F.col("both"))).alias("similarity")).where(F.col("similarity") >= similarity)
-    spots = made.select("doc_id", "n_words", "start", "content").join(store(scored, "scored"), "content")
+    spots = made.select("doc_id", "n_words", "start", "content").join(store(scored, "scored", slim=True), "content")
     best = F.max_by(F.struct(F.col("start").alias("start_word"), "n_words", "hamming", "similarity"), F.struct("similarity", -F.col("start")))
     return spots.groupBy("doc_id", "item_id").agg(best.alias("w")).select("doc_id", "item_id", "w.*")
 

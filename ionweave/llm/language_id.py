@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import learn_mask, role
+from .common import learn_mask, role, slices
 
 #: Learning rows per language (expected; chosen by a hash of the id), n-grams of a profile and of a document.
 SAMPLE_PER_LANG, PROFILE, DOCUMENT = 2_000, 600, 400
@@ -103,7 +103,7 @@ def identify(docs: DataFrame, model: RankProfiles, id_col: str = "doc_id", text_
     Repeated rows give repeated rows; an empty table an empty result."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             found = [model.predict(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f[0] for f in found], type=pa.string()), pa.array([f[1] for f in found], type=pa.float64())], names=["doc_id", "lang_pred", "score"])
 

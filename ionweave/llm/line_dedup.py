@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, id_text, role, store
+from .common import BLANKS, id_text, role, slices, store
 
 MIN_CHARS, MIN_DOCS = 40, 5
 #: Keys of one filter at most (on average), and bytes of all filters that may be sent to tasks.
@@ -120,7 +120,7 @@ def _reference_rows(min_chars: int, filters=None, shards: int = 1):
 
     def run(batches):
         held = {s: CuckooFilter.from_bytes(d) for s, d in filters.value.items()} if filters else None
-        for b in batches:
+        for b in slices(batches):
             keys, ids = [], []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
                 own = _keys_of(text, min_chars)
@@ -158,7 +158,7 @@ def sharded_filters(keys: DataFrame, n_keys: int) -> tuple[int, DataFrame]:
     """(number of shards, DataFrame of (shard, filter)); each filter holds the keys of one hash class."""
     shards = max(1, -(-n_keys // SHARD_KEYS))
     dealt = keys.select("key", _shard_column(shards).alias("_s"))
-    return shards, store(dealt.groupBy("_s").applyInArrow(_build_filters(shards), "shard int, filter binary"), "filters")
+    return shards, store(dealt.groupBy("_s").applyInArrow(_build_filters(shards), "shard int, filter binary"), "filters", slim=True)
 
 
 def count_references(refs: DataFrame) -> DataFrame:
@@ -168,7 +168,7 @@ def count_references(refs: DataFrame) -> DataFrame:
 
 def _apply(min_chars: int):
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             texts, n_lines, n_dropped = [], [], []
             for text, drop in zip(b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist()):
                 lines = text.split(b"\n")
@@ -189,7 +189,7 @@ class LineIndex:
 
     def __init__(self, refs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS):
         self.refs, self.min_chars, self.min_docs = refs, min_chars, min_docs
-        self.frequent = store(count_references(refs).where(F.col("n_docs") >= min_docs), "frequent")
+        self.frequent = store(count_references(refs).where(F.col("n_docs") >= min_docs), "frequent", slim=True)
         self.shards, self.filters = sharded_filters(self.frequent, self.frequent.count())
 
     @classmethod
@@ -243,7 +243,7 @@ def replace_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     at = docs.columns.index(text_col)
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             texts = []
             for text, drop in zip(b.column(at).cast(pa.binary()).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
                 if drop and text is not None:

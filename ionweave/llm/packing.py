@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dense_offsets, id_text, per_process, store
+from .common import dense_offsets, id_text, per_process, slices, store
 
 CAPACITY, SEPARATOR = 2048, 0
 #: Distinct words whose ids a worker process keeps; beyond that it starts anew.
@@ -124,18 +124,17 @@ def _pieces(path: str, capacity: int, separator: int):
     def run(batches):
         pid, encode, seen = TaskContext.get().partitionId(), per_process(("encoder", path), lambda: word_encoder(path)), np.zeros(capacity + 1, dtype=np.int64)
         end = np.array([separator], dtype="<u4").tobytes()
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                rows = []
-                for doc, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist())):
-                    ids += end
-                    for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
-                        own = ids[start : start + 4 * capacity]
-                        n = len(own) // 4
-                        rows.append((doc, piece, start // 4, n, zlib.crc32(own), pid, int(seen[n])))
-                        seen[n] += 1
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+        for part in slices(batches):
+            rows = []
+            for doc, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist())):
+                ids += end
+                for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
+                    own = ids[start : start + 4 * capacity]
+                    n = len(own) // 4
+                    rows.append((doc, piece, start // 4, n, zlib.crc32(own), pid, int(seen[n])))
+                    seen[n] += 1
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+            if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*rows), kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32", "_pid", "_idx"])
 
     return run

@@ -161,7 +161,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules:
     queries = {RULES.index(r): q for r in rules if frozenset() not in (q := trigram_query(r.pattern))}
     grams = sorted({g for q in queries.values() for s in q for g in s})
     if grams:
-        flags = store(candidates(build_postings(texts, grams), grams, queries).select(F.col("doc_id").alias("_doc"), "rules"), "candidates")
+        flags = store(candidates(build_postings(texts, grams), grams, queries).select(F.col("doc_id").alias("_doc"), "rules"), "candidates", slim=True)
         small = flags.count() <= BROADCAST_ROWS
         texts = texts.join(F.broadcast(flags) if small else flags, texts["doc_id"].eqNullSafe(flags["_doc"]), "left")
     else:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, role, store
+from .common import id_text, role, slices, store
 from .components import components
 
 #: Words of a shingle, seed of its hash, differing bits of a link.
@@ -45,7 +45,7 @@ def fingerprint(text: bytes) -> int:
 
 
 def _fingerprint_batches(batches):
-    for b in batches:
+    for b in slices(batches):
         texts = b.column(1).cast(pa.binary()).to_pylist()
         fps = np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["doc_id", "fp"])
@@ -188,7 +188,7 @@ def links(fps: DataFrame, radius: int = RADIUS, long_list: int = LONG_LIST) -> D
     spark = fps.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = postings(fps, radius).repartition(n, "key").sortWithinPartitions("key", "fp")
-    met = store(dealt.mapInArrow(_link_lists(radius, long_list), "a long, b long, hot boolean"), "links")
+    met = store(dealt.mapInArrow(_link_lists(radius, long_list), "a long, b long, hot boolean"), "links", slim=True)
     short = met.where("not hot").select("a", "b")
     if radius % 2 or not met.where("hot").take(1):
         return short
@@ -207,7 +207,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not 0 <= radius <= 4:
         raise ValueError("radius must be from 0 to 4: beyond that, too few bytes are guaranteed")
     fps = store(id_text(docs, id_col, text_col).mapInArrow(_fingerprint_batches, "doc_id long, fp long"), "fingerprints")
-    names = store(fps.groupBy("fp").agg(F.min("doc_id").alias("name")), "names")
+    names = store(fps.groupBy("fp").agg(F.min("doc_id").alias("name")), "names", slim=True)
     roots = components(links(names.select("fp"), radius, long_list if radius % 2 == 0 else 1 << 62))
     rooted = names.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "name", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("name").alias("component_id"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, learn_mask, role, store
+from .common import id_text, learn_mask, role, slices, store
 
 SAMPLE_ROWS, THRESHOLD = 20_000, 0.7
 #: Documents that must hold a lexicon term, terms kept, smallest weight (log-odds ratio) and z-like strength of one.
@@ -176,7 +176,7 @@ def _term_counts(toxic: int, only: frozenset | None):
 
     def run(batches):
         counts = Counter()
-        for b in batches:
+        for b in slices(batches):
             for half, text, label in zip(*(b.column(i).to_pylist() for i in range(3))):
                 if label == toxic:
                     terms = {t for w in {normal(x)[0] for x in set(text.split())} if len(w) > 2 for t in terms_of(w)}
@@ -202,7 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Model from at most sample_rows labelled rows of docs. Rows with a null id or label are not used; with one label
     only, or none, every score is that label's share."""
     ids = labels.select(role(labels, label_id, "long").alias("doc_id"), role(labels, label_col, "int").alias("toxic")).where("doc_id is not null and toxic is not null").where(learn_mask())
-    chosen = store(ids.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows), "labelled")
+    chosen = store(ids.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows), "labelled", slim=True)
     half = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).cast("int")
     rows = store(id_text(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").select(half.alias("half"), "text", "toxic"), "labelled-texts")  # at most sample_rows ids
     sizes = {(r[0], r[1]): r[2] for r in rows.groupBy("half", "toxic").count().collect()}
@@ -219,7 +219,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def featurized(batches):
         makers = {h: Featurizer(x) for h, x in other.items()}
-        for b in batches:
+        for b in slices(batches):
             made = [makers[h](t) for h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(made, type=pa.list_(pa.float64())), b.column(2)], names=["x", "toxic"])
 
@@ -241,7 +241,7 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
     A null text is scored as an empty one. Repeated rows give repeated rows; an empty table an empty result."""
     def run(batches):
         scorer = model.scorer()  # at most LEXICON_TERMS terms and some trees
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scorer(b.column(1).to_pylist()), type=pa.float64())], names=["doc_id", "score"])
 
     made = id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
@@ -255,7 +255,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 
     def run(batches):
         scorer = model.scorer()
-        for b in batches:
+        for b in slices(batches):
             yield b.filter(pa.array(scorer([t or "" for t in b.column(at).to_pylist()]) < THRESHOLD))
 
     return docs.mapInArrow(run, docs.schema)
