@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ionweave.functions.peptide import reverse_interior, strip_global_mods, strip_mods
-from ionweave.operators.ngram import find_proteins, ngram_index
+from ionweave.operators.ngram import NGRAM, find_proteins, ngram_index
 from ionweave.operators.numbering import order_bucket
 from ionweave.operators.ranking import best_row
 
@@ -16,9 +16,10 @@ from ionweave.operators.ranking import best_row
 NOT_FEATURES = ("id", "peptide", "proteins", "filename", "target_pair", "peak_id", "is_target", "PrecursorMZ", "RetentionTime")
 
 
-def prepare_psms(results: DataFrame, proteins: DataFrame, filename: str) -> DataFrame:
+def prepare_psms(results: DataFrame, proteins: DataFrame, filename: str, ngram_size: int = NGRAM) -> DataFrame:
     """First-rank matches ready for confidence: no array columns, peptides without global modifications, each decoy
-    with its target, lengths, peak counts per residue, proteins. Peptides of no protein have null proteins."""
+    with its target, lengths, peak counts per residue, proteins. Peptides of no protein have null proteins; ngram_size is
+    at most the length of the shortest peptide."""
     plain = [f.name for f in results.schema if not isinstance(f.dataType, T.ArrayType) and f.name not in ("rank", "decoy")]
     kept = results.where(F.col("rank") == 1).select(*plain, (~F.col("decoy")).alias("is_target"))
     kept = kept.withColumn("filename", F.lit(filename)).withColumn("peptide", strip_global_mods(F.col("peptide")))
@@ -26,7 +27,7 @@ def prepare_psms(results: DataFrame, proteins: DataFrame, filename: str) -> Data
     kept = kept.withColumn("_bare", strip_mods(F.col("target_pair"))).withColumn("peptide_length", F.length("_bare"))
     for name in [c for c in kept.columns if "npeaks" in c]:
         kept = kept.withColumn(f"{name}_pct", 100 * F.col(name) / F.col("peptide_length"))
-    owners = find_proteins(kept.select(F.col("_bare").alias("peptide")), ngram_index(proteins), proteins)
+    owners = find_proteins(kept.select(F.col("_bare").alias("peptide")), ngram_index(proteins, ngram_size), proteins, ngram_size)
     return kept.join(owners.withColumnRenamed("peptide", "_bare"), "_bare", "left").drop("_bare")
 
 

@@ -19,17 +19,12 @@ def ngram_index(proteins: DataFrame, n: int = NGRAM) -> DataFrame:
 
 
 def find_proteins(peptides: DataFrame, index: DataFrame, proteins: DataFrame | None = None, n: int = NGRAM, peptide: str = "peptide") -> DataFrame:
-    """(peptide, proteins): accessions, sorted and joined by `;`. Peptides without a match do not appear.
-
-    Without `proteins`, those that hold all n-grams of the peptide; with it, those that contain the peptide. Then the
-    postings of its rarest n-gram are enough to look at: whatever contains the peptide is among them."""
+    """(peptide, proteins): accessions, sorted and joined by `;`, that hold all n-grams of the peptide; with `proteins`,
+    of those only the ones that contain it. Peptides without a match do not appear. A longer n has shorter postings:
+    the best is the length of the shortest peptide."""
     own = peptides.select(F.col(peptide).alias("peptide")).distinct().withColumn("_grams", ngrams(F.col("peptide"), n))
     wanted = own.select("peptide", F.size("_grams").alias("_need"), F.explode("_grams").alias("ngram"))
-    if proteins is None:
-        hits = wanted.join(index, "ngram").groupBy("peptide", "accession").agg(F.count(F.lit(1)).alias("_have"), F.first("_need").alias("_need")).where("_have = _need")
-    else:
-        sizes = index.groupBy("ngram").agg(F.count(F.lit(1)).alias("_size"))
-        counted = wanted.join(sizes, "ngram", "left").withColumn("_size", F.coalesce("_size", F.lit(0)))
-        rarest = counted.groupBy("peptide").agg(F.min(F.struct("_size", "ngram")).alias("_r")).select("peptide", "_r.ngram")
-        hits = rarest.join(index, "ngram").join(proteins.select("accession", "sequence"), "accession").where(F.contains("sequence", "peptide"))
+    hits = wanted.join(index, "ngram").groupBy("peptide", "accession").agg(F.count(F.lit(1)).alias("_have"), F.first("_need").alias("_need")).where("_have = _need")
+    if proteins is not None:
+        hits = hits.join(proteins.select("accession", "sequence"), "accession").where(F.contains("sequence", "peptide"))
     return hits.groupBy("peptide").agg(F.array_join(F.array_sort(F.collect_set("accession")), ";").alias("proteins"))

@@ -406,7 +406,7 @@ def _asked(proteins):
 @query("WITH " + _ASKED + " SELECT peptide, string_agg(doc_id::VARCHAR, ';' ORDER BY doc_id::VARCHAR) AS proteins FROM asked JOIN prot ON contains(s, peptide) GROUP BY peptide")
 def ngram_search(spark, sf):
     proteins = _proteins(spark, sf)
-    return ngram.find_proteins(_asked(proteins), ngram.ngram_index(proteins), proteins)
+    return ngram.find_proteins(_asked(proteins), ngram.ngram_index(proteins, 7), proteins, 7)
 
 
 @query("WITH " + _ASKED + f""",
@@ -417,7 +417,7 @@ def psm_prepare(spark, sf):
     proteins = _proteins(spark, sf)
     n = F.length("peptide")
     psms = _asked(proteins).select((n % 2 + 1).alias("rank"), F.concat(F.when(n % 3 == 0, pep.reverse_interior(F.col("peptide"))).otherwise(F.col("peptide")), F.lit("/2")).alias("peptide"), F.array(n).alias("mzs"), (n % 5).cast("long").alias("b_npeaks"), (n % 3 == 0).alias("decoy"))
-    out = conf.prepare_psms(psms, proteins.select("accession", "sequence"), "run")
+    out = conf.prepare_psms(psms, proteins.select("accession", "sequence"), "run", 7)
     return out.withColumn("peptide_length", F.col("peptide_length").cast("long")).withColumn("b_npeaks_pct", F.round("b_npeaks_pct", 6))
 
 
