@@ -142,6 +142,30 @@ def test_similar_runs_meet_the_brute_force_threshold():
             assert best < 0.8
 
 
+def test_similar_runs_miss_nothing_where_shingles_repeat(monkeypatch):
+    rng = np.random.default_rng(8)
+    passage, other = np.arange(60, dtype=np.int32), np.arange(100, 200, dtype=np.int32)
+    stray = np.r_[passage[:16], other[:5], passage]
+    assert (21, 80, 0, 59, 1.0) in sd.similar_runs(stray, passage, 46, 0.8)
+    twice = sd.similar_runs(np.r_[passage, other[:50], passage], passage, 46, 0.8)
+    assert {f[:4] for f in twice if f[4] == 1} == {(0, 59, 0, 59), (110, 169, 0, 59)}
+    swapped = np.r_[passage[24:46], other[:4], passage[:20]]
+    assert sd.similar_runs(np.r_[passage[:20], other[10:14], passage[24:46]], swapped, 46, 0.8)
+    for k in range(60):
+        x = rng.integers(0, (8, 25, 60)[k % 3], 70).astype(np.int32)
+        y = np.r_[x[40:60], x[5:45], x[:10]] if k % 2 else x[10:65].copy()
+        y[rng.random(len(y)) < 0.1] = -1
+        share = {(i, j): sum((Counter(x[i : i + 20].tolist()) & Counter(y[j : j + 20].tolist())).values()) for i in range(51) for j in range(len(y) - 19)}
+        near = {ij: n for ij, n in share.items() if n >= 18}
+        monkeypatch.setattr(sd, "ALL_OFFSETS", 0 if k % 4 > 1 else 10**6)
+        found = sd.similar_runs(x, y, 20, 0.8)
+        assert bool(found) == bool(near)
+        if near:
+            assert abs(max(f[4] for f in found) - max(near.values()) / (40 - max(near.values()))) < 1e-9
+        for s, e, t, u, _ in found:
+            assert e - s == u - t and all((i, i + t - s) in near for i in range(s, e - 18))
+
+
 def brute_contamination(docs, items, similarity=0.8):
     words = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
     shingles = lambda w, n: [tuple(w[i : i + n]) for i in range(len(w) - n + 1)]
