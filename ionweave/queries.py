@@ -449,13 +449,14 @@ def hyperscore_topn(spark, sf):
 
 @query()
 def dia_greedy_search(spark, sf):
-    """Rows only: the greedy search has no SQL. Twenty windows of 30 Th, twelve scans each."""
+    """Rows only: the greedy search has no SQL. Twenty windows of 30 Th, twelve scans each. The
+    settings are SearchConfig's own but for the fragment tolerance of 0.5 Da."""
     rows = table(spark, sf, "lineitem").select((F.col("l_suppkey") % 20).alias("w"), (F.col("l_orderkey") % 12).cast("double").alias("rt"), (F.col("l_extendedprice") / 50).alias("mz"), (F.col("l_quantity") * 100).alias("i"))
     peaks = F.array_sort(F.collect_list(F.struct("mz", "i")))
     low = (F.lit(400) + 30 * F.col("w")).cast("double")
     scans = rows.groupBy("w", "rt").agg(peaks.alias("p"))
     raw = scans.select(F.col("rt").alias("rt_values"), low.alias("quad_low_mz_values"), (low + 30).alias("quad_high_mz_values"), F.col("p.mz").alias("mz_values"), F.col("p.i").alias("corrected_intensity_values"), F.lit(None).cast("array<double>").alias("mobility_values"))
-    config = SearchConfig(db_max_missed_cleavages=0, precursor_charges=(2,), ion_charges=(1,), run_allowed_fails=50, g_tolerances=(20.0, 0.5), g_tolerance_units=("ppm", "da"))
+    config = SearchConfig(g_tolerances=(20.0, 0.5), g_tolerance_units=("ppm", "da"))
     return window_search(raw, PeptideIndex.from_proteins(_proteins(spark, sf), config), config)
 
 

@@ -1,5 +1,6 @@
 """The driver's contract: names match, queries equal their SQL on the smallest tables."""
 
+import dataclasses
 import os
 
 import duckdb
@@ -7,6 +8,8 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
+from ionweave import queries
+from ionweave.config import SearchConfig
 from ionweave.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -47,5 +50,13 @@ def test_query_without_sql_runs(spark, name):
     assert QUERIES[name](spark, SF).count() >= 0
 
 
+def test_greedy_search_runs_as_configured(spark, monkeypatch):
+    used = []
+    monkeypatch.setattr(queries, "window_search", lambda raw, index, config: used.append(config) or raw)
+    QUERIES["dia_greedy_search"](spark, SF)
+    own = SearchConfig()
+    assert {f.name for f in dataclasses.fields(own) if getattr(own, f.name) != getattr(used[0], f.name)} == {"g_tolerances", "g_tolerance_units"}
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
