@@ -109,6 +109,33 @@ def test_planted_passages(spark, awkward, empty):
     assert {12, 15, 18} <= ids and None not in ids and 21 not in ids
 
 
+def test_same_fills_of_a_common_template_meet(spark):
+    """Every pair is linked, however many windows share a value: each of 20 fills is held by three of 60 documents."""
+    rng = random.Random(4)
+    template = [f"m{i}" for i in range(75)]
+    fills = [{at: f"f{k}x{at}" for at in range(2, 75, 6)} for k in range(20)]
+    docs = {}
+    for i in range(60):
+        own = [fills[i % 20].get(at, w) for at, w in enumerate(template)]
+        docs[i] = [f"u{rng.randrange(10**6)}" for _ in range(30)] + own + [f"u{rng.randrange(10**6)}" for _ in range(30)]
+    docs[100] = list(docs[7])
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")
+    for all_pairs in (256, 5):
+        found = {r["doc_id"]: r for r in sd.repeated_passages(df, all_pairs=all_pairs).collect()}
+        assert set(found) == set(docs)
+        assert all(r["class_id"] == (7 if i == 100 else i % 20) and r["links"] == (3 if i % 20 == 7 or i == 100 else 2) for i, r in found.items())
+        assert found[100]["spans"] == found[7]["spans"] == [[0, 135]] and found[8]["n_words"] >= 75
+
+
+def test_links_are_all_pairs(spark):
+    rng = random.Random(1)
+    rows = sorted({((k % 7 if k % 3 else 50) * 8 + k % 2, rng.randrange(90), k << 32 | k + 50) for k in range(400)})
+    expected = Counter((a[1], b[1], a[0] & 7, a[2], b[2]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1])
+    df = spark.createDataFrame(rows, "v long, doc long, span long").repartition(3)
+    for all_pairs in (256, 16, 3):
+        assert Counter(map(tuple, sd.links(df, all_pairs).collect())) == expected
+
+
 def test_compact_windows_are_the_sliding_minima():
     h = sd.shingle_hashes(b" ".join(b"%d" % (i * i % 97) for i in range(200)))
     v, first, last = sd.compact_windows(h, 20, 2)
