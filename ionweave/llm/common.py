@@ -9,6 +9,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -21,6 +22,8 @@ def shared_root(spark: SparkSession) -> str:
     is unset (tests, a single machine) a temporary folder is made."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         kept = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = kept.get() if kept.isDefined() else f"file://{tempfile.mkdtemp(prefix='ionweave-')}"
         if not kept.isDefined():
@@ -32,22 +35,37 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-#: Tasks per core that write a slim table: keys and ids only, so that their files do not become many and tiny.
-SLIM_WAVES = 3
-
-
 def store(df: DataFrame, name: str, partition_by: str | None = None, slim: bool = False) -> DataFrame:
     """Write df to the shared folder and read it again: lineage is cut, a lost executor costs nothing already written.
-    slim: rows are a few numbers each, so at most SLIM_WAVES tasks per core of the cluster write them."""
+    slim: rows are a few numbers each; tasks hand them on to as few writers as their size asks for, so that files do
+    not become many and tiny while the tasks that make the rows stay as many as they are."""
     spark = df.sparkSession
     path = new_path(spark, name)
     if slim:
-        df = df.coalesce(SLIM_WAVES * spark.sparkContext.defaultParallelism)
+        df = df.hint("rebalance")
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Largest table, as the sum of its values' sizes, that is sent to the tasks.
+BROADCAST_BYTES = 16 << 20
+
+
+def _width(kind, col):
+    """Bytes of a value, about; of arrays, all elements."""
+    if isinstance(kind, T.ArrayType):
+        return F.coalesce(F.size(col), F.lit(0)) * (16 if isinstance(kind.elementType, (T.StringType, T.BinaryType)) else 8 * (len(kind.elementType.fields) if isinstance(kind.elementType, T.StructType) else 1))
+    return F.coalesce(F.octet_length(col), F.lit(0)) if isinstance(kind, (T.StringType, T.BinaryType)) else F.lit(8)
+
+
+def sized(stored: DataFrame, limit: int | None = None) -> DataFrame:
+    """A stored table, sent to the tasks if its values take at most `limit` bytes and joined by a shuffle otherwise."""
+    limit = BROADCAST_BYTES if limit is None else limit
+    width = sum((_width(f.dataType, F.col(f"`{f.name}`")) for f in stored.schema), F.lit(16))
+    return F.broadcast(stored) if (stored.agg(F.sum(width.cast("long"))).first()[0] or 0) <= limit else stored
+
+
 def forget(spark: SparkSession, df: DataFrame) -> None:
     """Delete the files behind a stored table that nothing reads any more."""
     jvm = spark._jvm

@@ -14,12 +14,18 @@ from .common import forget, store
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return _with_low(both, low).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+
+
+def _with_low(edges: DataFrame, low: DataFrame) -> DataFrame:
+    """Each edge with the minimum of its u. The minima's key is an expression of its own, so that the edges' shuffle
+    serves this join only and adaptive execution may split a node with many edges over tasks."""
+    return edges.join(low.select(F.expr("u ^ 0L").alias("_k"), "m"), F.col("u") == F.col("_k")).drop("_k")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     low = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = _with_low(edges, low).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(low.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -33,10 +39,10 @@ def components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     pairs: long columns a and b; self loops, repeats and nulls count for nothing. Empty pairs give an empty table."""
     spark = pairs.sparkSession
     ends = pairs.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"), F.col(a).alias("_a"), F.col(b).alias("_b"))
-    edges = store(ends.where("_a <> _b").select("u", "v").distinct(), "edges", slim=True)
+    edges = store(ends.where("_a <> _b").select("u", "v").distinct(), "edges")
     mark = _print(edges)
     while mark[0]:
-        after = store(_small_star(_large_star(edges)), "edges", slim=True)
+        after = store(_small_star(_large_star(edges)), "edges")
         now = _print(after)
         forget(spark, edges)
         edges = after

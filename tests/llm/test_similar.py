@@ -257,3 +257,71 @@ def test_awkward_documents(awkward, spark):
     bench = spark.createDataFrame([(1, "one two three"), (2, "The same long line of at least forty characters, again.")], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in dc.contaminated(awkward, bench).collect()}
     assert (27, 1) in got and (30, 2) in got and len([g for g in got if g[1] == 2]) >= 10
+
+
+def brute_links(docs, passage=50, similarity=0.8):
+    """Pairs of documents that share a passage, found at every alignment of every two texts."""
+    h = {i: sd.shingle_hashes(t.encode()).view(np.int64) for i, t in docs.items()}
+    width = passage - 4
+    need = int(np.ceil(similarity * 2 * width / (1 + similarity) - 1e-9))
+    out = set()
+    for i in h:
+        for j in h:
+            if i < j and len(np.intersect1d(h[i], h[j])) >= need // 2 and sd.similar_runs(h[i], h[j], width, similarity):
+                out.add((i, j))
+    return out
+
+
+def boilerplate(seed, pairs=20, loners=60, shared=40, own=14):
+    """Documents with one common stretch, too short to count; pairs of them carry on with the same words."""
+    rng = random.Random(seed)
+    fresh = lambda n: [f"b{rng.randrange(10**7)}" for _ in range(n)]
+    common, docs = fresh(shared), {}
+    for k in range(pairs):
+        more = fresh(own)
+        for half in range(2):
+            docs[2 * k + half * 1000] = fresh(40) + common + more + fresh(40)
+    for k in range(loners):
+        docs[2 * k + 1] = fresh(40) + common + fresh(60)
+    return {i: " ".join(w) for i, w in docs.items()}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_boilerplate_hides_no_pair(spark, seed):
+    docs = boilerplate(seed)
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    expected = brute_links(docs)
+    assert len(expected) == 20
+    found = {(r["a"], r["b"]) for r in sd.similar_passages(df, all_pairs=8).collect()}
+    assert found <= expected and len(found) >= 0.99 * len(expected)
+
+
+def test_settled_groups_have_the_classes_of_all_pairs(spark):
+    """Near copies of one text, templates and pairs: classes and spans as if every pair had been verified."""
+    rng = random.Random(9)
+    fresh = lambda n: [f"s{rng.randrange(10**7)}" for _ in range(n)]
+    base, docs = fresh(160), {}
+    for i in range(70):
+        own = list(base)
+        for at in rng.sample(range(160), rng.randrange(0, 7)):
+            own[at] = f"x{rng.randrange(10**7)}"
+        docs[200 - i] = fresh(20) + own + fresh(20)
+    docs |= {i: t.split() for i, t in boilerplate(5, 10, 10).items()}
+    docs = {i: " ".join(w) for i, w in docs.items()}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    pairs = brute_links(docs)
+    classes = union_find({i for p in pairs for i in p}, pairs)
+    found = {r["doc_id"]: r for r in sd.repeated_passages(df, all_pairs=6).collect()}
+    plain = {r["doc_id"]: r for r in sd.repeated_passages(df, all_pairs=6, every_pair=True).collect()}
+    assert {i: r["class_id"] for i, r in found.items()} == classes
+    assert all(found[i]["class_id"] == r["class_id"] and found[i]["n_words"] >= r["n_words"] for i, r in plain.items())
+
+
+def test_rarest_shingles_meet_wherever_enough_are_shared():
+    rng = np.random.default_rng(2)
+    order = rng.permutation(16).astype(np.int32)
+    for k in range(200):
+        x = rng.integers(0, (12, 60, 1000)[k % 3], 20).astype(np.int32)
+        y = rng.permutation(np.r_[x[:17], rng.integers(0, 1000, 3).astype(np.int32)])
+        rows = [sd.rarest(z, order, 20, 4) for z in (x, y)]
+        assert np.intersect1d(*(v[r.ravel()] for r, v in rows)).size
