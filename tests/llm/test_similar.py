@@ -259,6 +259,21 @@ def test_awkward_documents(awkward, spark):
     assert (27, 1) in got and (30, 2) in got and len([g for g in got if g[1] == 2]) >= 10
 
 
+def test_covered_words_are_those_of_all_alignments(monkeypatch):
+    """Without `best`, the same words are covered, by alignments and by contents alike."""
+    rng = np.random.default_rng(4)
+    words = lambda found, n, at: {i for f in found for i in range(f[at], f[at + 1] + 1)}
+    for k in range(60):
+        x = rng.integers(0, (2, 6, 20, 300)[k % 4], 90).astype(np.int32)
+        y = np.r_[np.tile(x[:7], 6), x[20:60], rng.integers(0, 5, 40).astype(np.int32)] if k % 3 else np.tile(x[:11], 9)
+        every = [(i, j) for i in range(71) for j in range(len(y) - 19) if sum((Counter(x[i : i + 20].tolist()) & Counter(y[j : j + 20].tolist())).values()) >= 18]
+        for few in (0, 10**9):
+            monkeypatch.setattr(sd, "FEW_OFFSETS", few)
+            found = sd.similar_runs(x, y, 20, 0.8, False)
+            assert words(found, 90, 0) == {w for i, _ in every for w in range(i, i + 20)}
+            assert words(found, len(y), 2) == {w for _, j in every for w in range(j, j + 20)}
+
+
 def brute_links(docs, passage=50, similarity=0.8):
     """Pairs of documents that share a passage, found at every alignment of every two texts."""
     h = {i: sd.shingle_hashes(t.encode()).view(np.int64) for i, t in docs.items()}
