@@ -33,21 +33,22 @@ def _print(edges: DataFrame):
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
-def components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(pairs: DataFrame, a: str = "a", b: str = "b", rounds: int | None = None) -> DataFrame:
     """(node, root) for every node with an edge to another; root is the smallest node of its component.
 
-    pairs: long columns a and b; self loops, repeats and nulls count for nothing. Empty pairs give an empty table."""
+    pairs: long columns a and b; self loops, repeats and nulls count for nothing. Empty pairs give an empty table. With
+    rounds, at most so many are run: nodes of one root are connected then, but connected nodes may have several roots."""
     spark = pairs.sparkSession
     ends = pairs.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"), F.col(a).alias("_a"), F.col(b).alias("_b"))
     edges = store(ends.where("_a <> _b").select("u", "v").distinct(), "edges")
-    mark = _print(edges)
-    while mark[0]:
+    mark, done = _print(edges), 0
+    while mark[0] and done != rounds:
         after = store(_small_star(_large_star(edges)), "edges")
         now = _print(after)
         forget(spark, edges)
         edges = after
         if now == mark:
             break
-        mark = now
-    roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
+        mark, done = now, done + 1
+    ends = edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v"), F.col("v")))
+    return ends.groupBy("node").agg(F.min("root").alias("root"))
