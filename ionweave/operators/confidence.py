@@ -108,7 +108,9 @@ def rescore(psms: DataFrame, train_fdr: float = 0.01, rounds: int = 2, folds: in
         for part in scored[1:]:
             merged = merged.unionByName(part)
         judged.unpersist()
-        data = merged.persist()
+        before, data = data, merged.persist()
+        data.count()
+        before.unpersist()
     return data.drop("_x", "_fold")
 
 
@@ -118,9 +120,22 @@ def brew(psms: DataFrame, train_fdr: float = 0.01, score: str = "svm_score") ->
 
 
 def score_metrics(psms: DataFrame, score: str = "Score") -> DataFrame:
-    """(decoy, peptides, mean_score, q95_score) over the best score of each peptide; quantiles interpolate."""
-    best = psms.groupBy("peptide", "decoy").agg(F.max(score).alias("score"))
-    return best.groupBy("decoy").agg(F.count(F.lit(1)).alias("peptides"), F.avg("score").alias("mean_score"), F.percentile("score", F.lit(0.95)).alias("q95_score"))
+    """(decoy, peptides, mean_score, q95_score) over the best score of each peptide; quantiles interpolate.
+
+    The two rows around the quantile are found by counts per score bucket, so no task holds a group's scores."""
+    best = psms.groupBy("peptide", "decoy").agg(F.max(F.col(score).cast("double")).alias("score"))
+    counts = best.groupBy("decoy", "score").agg(F.count(F.lit(1)).alias("_n"))
+    bucketed = counts.where(F.col("score").isNotNull()).withColumn("_b", order_bucket(counts.where(F.col("score").isNotNull()), "score"))
+    before = Window.partitionBy("decoy").orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    starts = bucketed.groupBy("decoy", "_b").agg(F.sum("_n").alias("_in")).select("decoy", "_b", F.coalesce(F.sum("_in").over(before), F.lit(0)).alias("_from"))  # one row per bucket and kind
+    inside = Window.partitionBy("decoy", "_b").orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
+    stop = F.col("_from") + F.sum("_n").over(inside)
+    placed = bucketed.join(starts, ["decoy", "_b"]).select("decoy", "score", (stop - F.col("_n")).alias("_first"), (stop - 1).alias("_last"))
+    sums = best.groupBy("decoy").agg(F.count(F.lit(1)).alias("peptides"), F.avg("score").alias("mean_score"), ((F.count("score") - 1) * F.lit(0.95)).alias("_at"))
+    at = lambda place: F.max(F.when(F.lit(place).between(F.col("_first"), F.col("_last")), F.col("score")))
+    around = placed.join(F.broadcast(sums), "decoy").groupBy("decoy", "peptides", "mean_score", "_at").agg(at(F.floor("_at")).alias("_low"), at(F.ceil("_at")).alias("_high"))  # two rows sent
+    q95 = F.col("_low") + (F.col("_high") - F.col("_low")) * (F.col("_at") - F.floor("_at"))
+    return sums.select("decoy", "peptides", "mean_score").join(around.select("decoy", q95.alias("q95_score")), "decoy", "left")
 
 
 def histogram(df: DataFrame, value: str, low: float, high: float, bins: int = 100) -> DataFrame:

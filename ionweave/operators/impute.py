@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ionweave.operators.numbering import dense_ids
 
@@ -26,8 +27,9 @@ def impute(cells: DataFrame, value: str, row: str = "peptide", run: str = "run",
     NaN) are predicted. A row or run without any observation gets the mean."""
     known = _indexed(cells, row, run, value)
     fitted = _model(rank, regularisation, iterations, seed).fit(known.where("_value is not null"))
-    runs = F.broadcast(known.select(run, "_run").distinct())  # runs are files of an experiment
-    grid = known.select(row, "_row").distinct().withColumn("_one", F.lit(1)).join(runs.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    runs = known.select(run, "_run").distinct().collect()  # the files of an experiment
+    names = F.array(*(F.struct(F.lit(r[run]).alias(run), F.lit(r["_run"]).alias("_run")) for r in runs)) if runs else F.lit(None).cast(T.ArrayType(known.select(run, "_run").schema))
+    grid = known.select(row, "_row").distinct().select(row, "_row", F.explode(names).alias("_r")).select(row, "_row", "_r.*")
     mean = known.select("_mean").limit(1).first()
     predicted = fitted.transform(grid).join(known.select(row, run, "_value"), [row, run], "left")
     guess = F.coalesce(F.nanvl(F.col("prediction").cast("double"), F.lit(0.0)), F.lit(0.0)) + F.lit(mean[0] if mean else 0.0)

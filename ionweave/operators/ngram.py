@@ -14,8 +14,8 @@ def ngrams(sequence: Column, n: int = NGRAM) -> Column:
 
 
 def ngram_index(proteins: DataFrame, n: int = NGRAM) -> DataFrame:
-    """(ngram, accession): the postings."""
-    return proteins.select(F.explode(ngrams(F.col("sequence"), n)).alias("ngram"), "accession").distinct()
+    """(ngram, accession): the postings, of proteins whose accessions differ."""
+    return proteins.select(F.explode(ngrams(F.col("sequence"), n)).alias("ngram"), "accession")  # distinct within a protein already
 
 
 def find_proteins(peptides: DataFrame, index: DataFrame, proteins: DataFrame | None = None, n: int = NGRAM, peptide: str = "peptide") -> DataFrame:
@@ -24,7 +24,9 @@ def find_proteins(peptides: DataFrame, index: DataFrame, proteins: DataFrame | N
     the best is the length of the shortest peptide."""
     own = peptides.select(F.col(peptide).alias("peptide")).distinct().withColumn("_grams", ngrams(F.col("peptide"), n))
     wanted = own.select("peptide", F.size("_grams").alias("_need"), F.explode("_grams").alias("ngram"))
-    hits = wanted.join(index, "ngram").groupBy("peptide", "accession").agg(F.count(F.lit(1)).alias("_have"), F.first("_need").alias("_need")).where("_have = _need")
+    asked = wanted.select("ngram").distinct()
+    postings = index.join(asked, "ngram", "left_semi").distinct()  # others never leave the task that made them where the n-grams asked are few
+    hits = wanted.join(postings, "ngram").groupBy("peptide", "accession").agg(F.count(F.lit(1)).alias("_have"), F.first("_need").alias("_need")).where("_have = _need")
     if proteins is not None:
         hits = hits.join(proteins.select("accession", "sequence"), "accession").where(F.contains("sequence", "peptide"))
     return hits.groupBy("peptide").agg(F.array_join(F.array_sort(F.collect_set("accession")), ";").alias("proteins"))

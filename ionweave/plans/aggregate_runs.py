@@ -20,6 +20,13 @@ def union_runs(runs: dict[str, DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (df.withColumn("run", F.lit(name)) for name, df in runs.items()))
 
 
+def run_cells(together: DataFrame, peptides: DataFrame, value: str, score: str, runs: list[str]) -> DataFrame:
+    """(peptide, run, value): every peptide in every run with the value of its best match there, null without one."""
+    best = together.groupBy("peptide", "run").agg(F.max_by(value, score).alias(value))
+    every = peptides.select("peptide", F.explode(F.array(*map(F.lit, runs))).alias("run"))
+    return every.join(best, ["peptide", "run"], "left")
+
+
 def aggregate_runs(runs: dict[str, DataFrame], eval_fdr: float = 0.01, score: str = "Score", values=("RetentionTime", "IonMobility"), seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """(peptides, proteins): accepted peptides with a column per run and value, missing ones imputed, and accepted proteins."""
     together = union_runs(runs)
@@ -27,9 +34,7 @@ def aggregate_runs(runs: dict[str, DataFrame], eval_fdr: float = 0.01, score: st
     accepted = peptides.where(F.col("is_target") & (F.col("q_value") <= eval_fdr)).select("peptide", score, "q_value", "proteins")
     names, out = list(runs), accepted
     for value in [v for v in values if v in together.columns]:
-        best = together.groupBy("peptide", "run").agg(F.max_by(value, score).alias(value))
-        every = accepted.select("peptide").withColumn("_one", F.lit(1)).join(F.broadcast(together.select("run").distinct().withColumn("_one", F.lit(1))), "_one").drop("_one")
-        cells = every.join(best, ["peptide", "run"], "left")
+        cells = run_cells(together, accepted.select("peptide"), value, score, names)
         rank, _ = search_rank(cells, value, RANKS, seed=seed)
         wide = collection_matrix(impute(cells, value, rank=rank, seed=seed), value, names)
         out = out.join(wide.select("peptide", *(F.col(f"`{n}`").alias(f"{value}_{n}") for n in names)), "peptide", "left")

@@ -20,9 +20,11 @@ from ionweave.operators import confidence as conf
 from ionweave.operators import deisotope as iso
 from ionweave.operators import graph, impute, ngram, ranking
 from ionweave.operators.peptide_index import PeptideIndex, peptides, precursors
-from ionweave.operators.scoring import hyperscore
+from ionweave.operators.scoring import hyperscore, with_names
 from ionweave.operators.seeds import seed_neighbours
+from ionweave.plans.aggregate_runs import union_runs
 from ionweave.plans.window_search import window_search
+from ionweave.sources.spectra import isolation_windows
 from ionweave.sources.tables import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,7 +52,8 @@ def scan_filter_halfopen(spark, sf):
 
 @query("SELECT DISTINCT user_id, event_type FROM events WHERE user_id > 0 AND event_type = 'view'")
 def window_key_distinct(spark, sf):
-    return table(spark, sf, "events").where("user_id > 0 and event_type = 'view'").select("user_id", "event_type").distinct()
+    views = table(spark, sf, "events").where("event_type = 'view'").select(F.col("user_id").alias("quad_low_mz_values"), F.col("event_type").alias("quad_high_mz_values"))
+    return isolation_windows(views).toDF("user_id", "event_type")
 
 
 def _vectors(spark, sf):
@@ -159,7 +162,9 @@ def xic_sum(spark, sf):
 @query("SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F'")
 def lookup_join_seq(spark, sf):
     orders, customers = table(spark, sf, "orders"), table(spark, sf, "customer")
-    return orders.where("o_orderstatus = 'F'").join(customers, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_name")
+    best = orders.where("o_orderstatus = 'F'").select("o_orderkey", F.col("o_custkey").alias("seq_id"))
+    seqs = customers.select(F.col("c_custkey").alias("seq_id"), F.col("c_name").alias("seq_proforma"), F.col("c_acctbal").alias("seq_mz"), F.lit(False).alias("decoy"))
+    return with_names(best, seqs).select("o_orderkey", F.col("peptide").alias("c_name"))
 
 
 @query("SELECT c_custkey, c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') AS decoy FROM customer")
@@ -181,7 +186,7 @@ def left_join_runs(spark, sf):
 @query("SELECT event_id, user_id, NULL::DOUBLE AS value FROM events WHERE event_type = 'view' UNION ALL SELECT event_id, NULL::BIGINT, value FROM events WHERE event_type = 'error'")
 def union_diagonal(spark, sf):
     events = table(spark, sf, "events")
-    return events.where("event_type = 'view'").select("event_id", "user_id").unionByName(events.where("event_type = 'error'").select("event_id", "value"), allowMissingColumns=True)
+    return union_runs({"one": events.where("event_type = 'view'").select("event_id", "user_id"), "two": events.where("event_type = 'error'").select("event_id", "value")}).drop("run")
 
 
 @query("SELECT user_id, min(value) FILTER (WHERE event_type = 'click') AS click, min(value) FILTER (WHERE event_type = 'view') AS \"view\" FROM events GROUP BY user_id")
@@ -432,7 +437,8 @@ def pseudo_peaks(spark, sf):
     return rows.select(F.col("l_suppkey").cast("long").alias("spec_id"), peak.alias("peak_id"), (F.col("l_extendedprice") / 50).alias("spec_mz"), F.col("l_quantity").alias("spec_int"), low.alias("prec_low"), (low + 10).alias("prec_high"))
 
 
-@query("WITH " + _FRAGS + """,
+#: Every step is held as a table of its own, so that none is computed twice.
+HYPERSCORE_SQL = ("WITH " + _FRAGS + """,
  peaks AS (SELECT l_suppkey AS spec, l_suppkey % 60 AS w, l_extendedprice / 50 AS mz, l_quantity AS inten FROM lineitem),
  binned AS (SELECT *, unnest(range(floor(mz - 0.2)::BIGINT, floor(mz + 0.2)::BIGINT + 1)) AS bin FROM peaks),
  hits AS (SELECT spec, seq_id, ion, inten FROM binned p JOIN (SELECT *, floor(mz)::BIGINT AS fbin, floor((seq_mz - 400) / 10)::BIGINT AS fw FROM frags) f ON p.bin = f.fbin AND p.w = f.fw AND abs(f.mz - p.mz) <= 0.2::DOUBLE),
@@ -440,7 +446,10 @@ def pseudo_peaks(spark, sf):
  prelim AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY spec ORDER BY n DESC, seq_id) AS r FROM cand) WHERE r <= 200),
  scored AS (SELECT *, ln(1 + bi) + ln(1 + yi) + n AS score FROM prelim),
  z AS (SELECT *, coalesce((score - avg(score) OVER (PARTITION BY spec)) / nullif(stddev_samp(score) OVER (PARTITION BY spec), 0), 0) AS z, rank() OVER (PARTITION BY spec ORDER BY round(score, 9) DESC) AS k, row_number() OVER (PARTITION BY spec ORDER BY round(score, 9) DESC, seq_id) AS rank FROM scored)
-SELECT spec AS spec_id, s.proforma AS peptide, s.decoy AS decoy, bn AS b_npeaks, yn AS y_npeaks, round(score, 6) AS "Score", round(z, 6) AS "ScoreZ", rank, round(s.seq_mz, 6) AS "PrecursorMZ" FROM z JOIN seqs s USING (seq_id) WHERE k <= 10""")
+SELECT spec AS spec_id, s.proforma AS peptide, s.decoy AS decoy, bn AS b_npeaks, yn AS y_npeaks, round(score, 6) AS "Score", round(z, 6) AS "ScoreZ", rank, round(s.seq_mz, 6) AS "PrecursorMZ" FROM z JOIN seqs s USING (seq_id) WHERE k <= 10""").replace(" AS (SELECT", " AS MATERIALIZED (SELECT")
+
+
+@query(HYPERSCORE_SQL)
 def hyperscore_topn(spark, sf):
     index = PeptideIndex.from_proteins(_proteins(spark, sf), PSEUDO)
     top = hyperscore(pseudo_peaks(spark, sf), index, 0.2, "da", top_n=10)
@@ -544,3 +553,6 @@ def graph_endpoints(spark, sf):
 def graph_adjacency(spark, sf):
     made = graph.adjacency(_edges(spark, sf, "view"))
     return made.select("left", F.size("neighbours").cast("long").alias("n"), F.element_at("neighbours", 1).alias("low"), F.element_at("neighbours", -1).alias("high"))
+
+
+from ionweave import operator_queries  # noqa: E402, F401  registers more queries here

@@ -12,8 +12,10 @@ ACCESSION = r"^.*\|(.*)\|.*$"
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """(accession, description, sequence): one row per record, however its lines wrap or are indented.
 
-    Files are split at record marks, so a large file is read by many tasks. A header without bars is its own accession."""
-    raw = spark.read.text(path, lineSep=">").select(F.regexp_replace("value", "\r", "").alias("value")).where(F.length(F.trim(F.regexp_replace("value", r"\s", ""))) > 0)
+    Files are split at marks that begin a line, so a large file is read by many tasks, and a mark inside a header is part
+    of it. A header without bars is its own accession."""
+    parts = spark.read.text(path, lineSep="\n>").select(F.explode(F.split(F.regexp_replace("value", "\r", ""), r"(?:^|\n)[ \t]*>")).alias("value"))
+    raw = parts.where(F.length(F.trim(F.regexp_replace("value", r"\s", ""))) > 0)
     header = F.trim(F.substring_index("value", "\n", 1))
     body = F.regexp_replace(F.expr("substring(value, length(substring_index(value, '\n', 1)) + 1)"), r"\s", "")
     named = F.regexp_extract(header, ACCESSION, 1)

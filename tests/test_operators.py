@@ -190,3 +190,13 @@ def test_seed_neighbours(spark):
     assert {(r["left"], r["right"]) for r in seed_neighbours(df, 10, 0.2, 0.02, 0.2).collect()} == expected
     assert spark.range(1).select(file_stem(F.lit("/a/b.c/run.one.mzML"))).first()[0] == "run.one"
     assert tuple(df.agg(*summary("peak_id")).first()) == (0, 79, 80)
+
+
+def test_fasta_marks_inside_headers(spark, tmp_path):
+    from ionweave.sources.fasta import read_fasta
+
+    path = tmp_path / "p.fasta"
+    path.write_bytes(b">sp|P1|A_B Alpha-(1->3)-transferase OS=X\r\nMK\r\n WV\r\n>plain one\nACD\nEF\n\n  >sp|P2|C >> D\nGHI")
+    rows = {r["accession"]: r for r in read_fasta(spark, str(path)).collect()}
+    assert {a: r["sequence"] for a, r in rows.items()} == {"P1": "MKWV", "plain one": "ACDEF", "P2": "GHI"}
+    assert rows["P1"]["description"] == "sp|P1|A_B Alpha-(1->3)-transferase OS=X"
