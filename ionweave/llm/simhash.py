@@ -1,11 +1,12 @@
 """SimHash near-duplicates: byte-position inverted index with count filtering.
 
-A fingerprint has 8 positional bytes. Two fingerprints that differ in at most r <= 4 bits agree in at least 8 - r
-positional bytes. The index therefore posts each distinct fingerprint under every choice of that many (position,
-byte) pairs; a pair of fingerprints meets in a posting list if and only if its tally of shared positional bytes
-reaches the guaranteed minimum. Met pairs are tallied, retained and verified by the Hamming distance. A pair that
-meets in several lists counts only in its first one, and each list returns a spanning forest of its verified links,
-so output stays linear in the postings whatever the size of a near-copy group."""
+A fingerprint has 8 positional bytes. Two fingerprints that differ in at most r <= 4 bits agree in at least 8 - r of
+them: the guaranteed minimum. Lists of the plain index, one per position and byte, hold a 256th of all fingerprints
+each; they are therefore partitioned further: each distinct fingerprint is posted under every choice of 8 - r
+(position, byte) pairs, so that the pairs that can reach the minimum still meet. Within a list, the shared positional
+bytes of each pair are tallied, pairs that reach the minimum are retained and verified by the Hamming distance. A pair
+that meets in several lists counts only in its first one, and each list returns a spanning forest of its verified
+links, so output stays linear in the postings whatever the size of a near-copy group."""
 
 from __future__ import annotations
 
@@ -70,6 +71,17 @@ def postings(fps: DataFrame, radius: int) -> DataFrame:
     return fps.select(F.explode(F.array(*rows)).alias("key"), "fp")
 
 
+_LOW_BITS = np.uint64(0x0101010101010101)
+
+
+def shared_bytes(x: np.ndarray) -> np.ndarray:
+    """Tally of equal positional bytes of pairs of fingerprints, given their exclusive or."""
+    y = x | x >> np.uint64(4)
+    y |= y >> np.uint64(2)
+    y |= y >> np.uint64(1)
+    return 8 - np.bitwise_count(y & _LOW_BITS)
+
+
 def _forest(f: np.ndarray, c: np.ndarray, radius: int, first: np.ndarray):
     """Links of one posting list whose first shared choice is c, as (child, root) pairs of a spanning forest."""
     out_a, out_b = [], []
@@ -84,8 +96,9 @@ def _forest(f: np.ndarray, c: np.ndarray, radius: int, first: np.ndarray):
     step = max(1, (1 << 20) // len(f))
     for at in range(0, len(f), step):
         x = f[at : at + step, None] ^ f[None, :]
-        near = np.bitwise_count(x) <= radius
-        i, j = np.nonzero(near & (np.arange(at, at + len(x))[:, None] < np.arange(len(f))[None, :]))
+        retained = shared_bytes(x) >= 8 - radius
+        retained &= np.arange(at, at + len(x))[:, None] < np.arange(len(f))[None, :]
+        i, j = np.nonzero(retained & (np.bitwise_count(x) <= radius))
         if len(i):
             same = np.packbits((x[i, j].view(np.uint8).reshape(-1, 8) == 0), axis=1, bitorder="little")[:, 0]
             hold = first[same] == c
@@ -188,7 +201,7 @@ def links(fps: DataFrame, radius: int = RADIUS, long_list: int = LONG_LIST) -> D
     spark = fps.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = postings(fps, radius).repartition(n, "key").sortWithinPartitions("key", "fp")
-    met = store(dealt.mapInArrow(_link_lists(radius, long_list), "a long, b long, hot boolean"), "links", slim=True)
+    met = store(dealt.mapInArrow(_link_lists(radius, long_list), "a long, b long, hot boolean"), "links")
     short = met.where("not hot").select("a", "b")
     if radius % 2 or not met.where("hot").take(1):
         return short
@@ -207,7 +220,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not 0 <= radius <= 4:
         raise ValueError("radius must be from 0 to 4: beyond that, too few bytes are guaranteed")
     fps = store(id_text(docs, id_col, text_col).mapInArrow(_fingerprint_batches, "doc_id long, fp long"), "fingerprints")
-    names = store(fps.groupBy("fp").agg(F.min("doc_id").alias("name")), "names", slim=True)
+    names = store(fps.groupBy("fp").agg(F.min("doc_id").alias("name")), "names")
     roots = components(links(names.select("fp"), radius, long_list if radius % 2 == 0 else 1 << 62))
     rooted = names.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "name", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("name").alias("component_id"))
@@ -216,7 +229,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without those that have a near-duplicate with a smaller id; the smallest id of each group stays. Columns as they came."""
+    """docs without those that have a near-duplicate with a smaller id; the smallest id of each group stays. Columns as they came.
+
+    Rows with a null id stay. Rows that repeat an id stay or go together. Texts without a word are near one another. An
+    empty table gives an empty one."""
     found = near_duplicates(docs, id_col, text_col)
     drop = found.where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("_drop")).distinct()
     return docs.join(drop, role(docs, id_col, "long") == drop["_drop"], "left_anti")
