@@ -2,11 +2,13 @@
 
 * Words are runs of letters and digits of the lower-cased text; shingles have five words (an item with fewer is one
   shingle of its own size).
-* Windows: a window can be similar enough only where the document holds enough of an item's shingles (the bound
-  follows from the similarity and loses nothing). There, at every alignment that a shared shingle proposes, a window
+* Prefilter, which loses nothing: a window can be similar enough only where the document holds enough of an item's shingles (the bound
+  follows from the similarity). There, at every alignment that a shared shingle proposes, a window
   of the item's size is fingerprinted. Windows with equal shingles are fingerprinted once.
 * Multi-index: with radius r, fingerprints are cut into r + 1 blocks; two within r bits agree in a block, so the join
-  over (item size, block, value) finds all of them. Met pairs within the radius are verified.
+  over (item size, block, value) finds all of them. Met pairs within the radius are verified. At a similarity of 0.8
+  the radius must be near a third of the bits, where no choice of blocks is selective (four blocks of 16 bits, each
+  searched within 5, meet 36 % of all pairs): the prefilter is what keeps the pairs few.
 * Verification: weighted-shingle similarity, exact: a shingle weighs as often as it occurs; the sum of the smaller
   weights over the sum of the larger ones."""
 
@@ -15,13 +17,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, role, store
+from .common import id_text, role, sized, store
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Radius of the fingerprint search. Texts of similarity 0.8 differ in about 10 of 64 bits with a deviation of 3.
 RADIUS = 20
-#: Rows of the shingle dictionary, and of documents to look into, that are sent to the tasks; beyond it, shuffle joins.
-BROADCAST_ROWS = 200_000
+#: Bytes of the shingle dictionary, and of places to look into, that are sent to the tasks; beyond it, shuffle joins.
+BROADCAST_BYTES = 16 << 20
 
 
 def words_of(text: Column) -> Column:
@@ -34,11 +36,6 @@ def shingles_of(words: Column, width: int) -> Column:
     return F.when(F.size(words) >= width, hashed).otherwise(F.array().cast("array<long>"))
 
 
-def _sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """A stored table, sent to tasks if its counted rows are within the limit and joined by a shuffle otherwise."""
-    return F.broadcast(df) if df.count() <= limit else df
-
-
 def simhash64(groups: DataFrame, keys: list[str], shingle: str = "h") -> DataFrame:
     """(keys, fp): 64-bit SimHash of each group's shingles, every occurrence with weight one."""
     bit = lambda b: F.shiftrightunsigned(shingle, b).bitwiseAND(F.lit(1))
@@ -78,37 +75,37 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     Null texts are empty; an empty item is held by nobody; a null id is an id like any other. Rows that repeat a
     doc_id are one document. A document shorter than an item is one window. Empty tables give an empty result."""
     spark = docs.sparkSession
-    items = store(_items(benchmark, item_id, item_text), "items", slim=True)
+    items = store(_items(benchmark, item_id, item_text), "items")
     widths = sorted(r[0] for r in items.select("width").distinct().collect())  # at most SHINGLE values
     if not widths:
         return spark.createDataFrame([], "doc_id long, item_id long, start_word int, n_words int, hamming int, similarity double")
     texts = id_text(docs, id_col, text_col)
     worded = texts.select("doc_id", words_of(F.col("text")).alias("words"))
-    item_rows = store(_all_shingles(items, ["item_id", "n_words", "m", F.col("width").alias("own")], widths).where("own = width").drop("own"), "item-shingles", slim=True)
+    item_rows = store(_all_shingles(items, ["item_id", "n_words", "m", F.col("width").alias("own")], widths).where("own = width").drop("own"), "item-shingles")
 
-    hashes = store(item_rows.select("width", "h").distinct(), "item-hashes", slim=True)
-    met = store(_all_shingles(worded, ["doc_id", F.size("words").alias("doc_words")], widths).join(_sized(hashes), ["width", "h"]), "met")
+    hashes = store(item_rows.select("width", "h").distinct(), "item-hashes")
+    met = store(_all_shingles(worded, ["doc_id", F.size("words").alias("doc_words")], widths).join(sized(hashes, BROADCAST_BYTES), ["width", "h"]), "met")
     pairs = met.join(item_rows.withColumnRenamed("pos", "item_pos"), ["width", "h"])
     held = pairs.groupBy("doc_id", "item_id").agg(F.count_distinct("pos").alias("_held"), F.max("m").alias("_m")).where(F.col("_held") >= similarity * F.col("_m"))
     enough = pairs.join(held.select(F.col("doc_id").alias("_d"), F.col("item_id").alias("_i")), F.expr("doc_id <=> _d and item_id <=> _i"), "left_semi")
     begin = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("item_pos"), F.col("doc_words") - F.col("n_words")))
-    windows = store(enough.select("doc_id", "n_words", "width", begin.alias("start")).distinct(), "windows", slim=True)
+    windows = store(enough.select("doc_id", "n_words", "width", begin.alias("start")).distinct(), "windows")
 
-    look = store(windows.groupBy(F.col("doc_id").alias("_d")).agg(F.collect_list(F.struct("n_words", "width", "start")).alias("spots")), "look-into", slim=True)
-    cut = worded.join(_sized(look), worded["doc_id"].eqNullSafe(F.col("_d"))).select("doc_id", "words", F.explode("spots").alias("w"))
+    look = store(windows.groupBy(F.col("doc_id").alias("_d")).agg(F.collect_list(F.struct("n_words", "width", "start")).alias("spots")), "look-into")
+    cut = worded.join(sized(look, BROADCAST_BYTES), worded["doc_id"].eqNullSafe(F.col("_d"))).select("doc_id", "words", F.explode("spots").alias("w"))
     cut = cut.select("doc_id", "w.*", F.slice("words", F.col("w.start") + 1, F.col("w.n_words")).alias("words"))
     made = None
     for w in widths:
         part = cut.where(F.col("width") == w).select("doc_id", "n_words", "start", shingles_of(F.col("words"), w).alias("hs"))
         made = part if made is None else made.union(part)
     made = store(made.where(F.size("hs") > 0).withColumn("content", F.xxhash64("n_words", "hs")), "window-shingles")
-    contents = store(made.select("content", "n_words", "hs").dropDuplicates(["content"]), "contents", slim=True)
+    contents = store(made.select("content", "n_words", "hs").dropDuplicates(["content"]), "contents")
     c_rows = contents.select("content", "n_words", F.explode("hs").alias("h"))
 
     left = simhash64(c_rows, ["content", "n_words"]).select("content", "n_words", "fp", F.explode(blocks_of(F.col("fp"), radius)).alias("b"))
     right = simhash64(item_rows, ["item_id", "n_words"]).select("item_id", "n_words", F.col("fp").alias("item_fp"), F.explode(blocks_of(F.col("fp"), radius)).alias("b"))
     apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
-    near = store(left.join(right, ["n_words", "b"]).where(apart <= radius).select("content", "item_id", apart.cast("int").alias("hamming")).distinct(), "near", slim=True)
+    near = store(left.join(right, ["n_words", "b"]).where(apart <= radius).select("content", "item_id", apart.cast("int").alias("hamming")).distinct(), "near")
 
     c_weights = c_rows.groupBy("content", "h").agg(F.count(F.lit(1)).alias("cw"))
     i_weights = item_rows.groupBy("item_id", "h").agg(F.count(F.lit(1)).alias("iw"))
@@ -117,12 +114,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     sizes = item_rows.select(F.col("item_id").alias("_i"), "m").distinct()
     scored = overlap.join(sizes, F.expr("item_id <=> _i")).join(contents.select("content", F.size("hs").alias("cm")), "content")
     scored = scored.select("content", "item_id", "hamming", (F.col("both") / (F.col("cm") + F.col("m") - F.col("both"))).alias("similarity")).where(F.col("similarity") >= similarity)
-    spots = made.select("doc_id", "n_words", "start", "content").join(store(scored, "scored", slim=True), "content")
+    spots = made.select("doc_id", "n_words", "start", "content").join(store(scored, "scored"), "content")
     best = F.max_by(F.struct(F.col("start").alias("start_word"), "n_words", "hamming", "similarity"), F.struct("similarity", -F.col("start")))
     return spots.groupBy("doc_id", "item_id").agg(best.alias("w")).select("doc_id", "item_id", "w.*")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without those that hold a benchmark item; columns as they came."""
+    """docs without those that hold a benchmark item; columns as they came.
+
+    Null texts hold nothing. Rows that repeat an id, or whose id is null, are one document and stay or go together. An
+    empty table gives an empty one, an empty benchmark drops nothing."""
     drop = contaminated(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("_drop")).distinct()
     return docs.join(drop, role(docs, id_col, "long").eqNullSafe(drop["_drop"]), "left_anti")

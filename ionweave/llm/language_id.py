@@ -22,9 +22,17 @@ UNKNOWN = "und"
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
+def letters_of(text: str) -> str:
+    """The text in lower case with everything but letters (Unicode category L) as blanks, a run of it as one."""
+    low = _NOT_LETTERS.sub(" ", text.lower())
+    if low.replace(" ", "a").isalpha() or not low:
+        return low
+    return re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in low))  # numerals other than digits
+
+
 def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     """(codes ascending, counts) of a text's 1- to 3-grams over letters and word ends."""
-    c = np.frombuffer((" " + _NOT_LETTERS.sub(" ", text.lower()) + " ").encode("utf-32-le"), dtype="<u4").astype(np.uint64)
+    c = np.frombuffer((" " + letters_of(text) + " ").encode("utf-32-le"), dtype="<u4").astype(np.uint64)
     letter = c != 32
     one = c[letter]
     two = ((c[:-1] << np.uint64(21)) | c[1:])[letter[:-1] | letter[1:]]
@@ -80,7 +88,8 @@ def _sample_counts(batches):
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_per_lang: int = SAMPLE_PER_LANG) -> RankProfiles:
     """Profiles from rows with a language and crc32(doc_id as text) mod 3 other than 1. Of each language a share of the
-    rows is read that makes about sample_per_lang rows, chosen by a hash of the id."""
+    rows is read that makes about sample_per_lang rows, chosen by a hash of the id. Rows with a null id, text or language
+    teach nothing; repeated rows count as often as they occur; an empty table gives no profiles."""
     rows = docs.select(role(docs, id_col, "long").alias("doc_id"), role(docs, text_col, "string").alias("text"), role(docs, lang_col, "string").alias("lang")).where("lang is not null and text is not null").where(learn_mask())
     sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}  # one row per language
     if not sizes:

@@ -20,6 +20,8 @@ from .common import id_text, store
 BROADCAST_ROWS = 200_000
 #: Exact strings that a sub-expression may have before they become trigrams.
 EXACT_LIMIT = 32
+#: Matches whose spans are gathered at a time: lists grow by copying, so a text with many matches is taken in parts.
+PART = 256
 
 
 @dataclass(frozen=True)
@@ -129,9 +131,17 @@ def spans_of(text: Column, rule: Rule) -> Column:
         start = acc["at"] + F.length(x["piece"])
         end = start + F.coalesce(F.length(x["match"]), F.lit(0))
         span = F.struct(start.alias("start"), F.lit(RULES.index(rule)).alias("kind_at"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(x["match"].isNotNull() & ok(x["match"]), F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+        spans = F.when(x["match"].isNotNull() & ok(x["match"]), F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
+        return F.struct(end.alias("at"), acc["lists"].alias("lists"), spans.alias("spans"))
 
-    gathered = F.aggregate(pairs, F.struct(F.lit(0).cast("long").alias("at"), empty.alias("spans")), step, lambda acc: acc["spans"])
+    def part(acc, at):
+        begin = F.struct(acc["at"].alias("at"), acc["lists"].alias("lists"), empty.alias("spans"))
+        own = F.slice(pairs, at * PART + 1, F.lit(PART))
+        return F.aggregate(own, begin, step, lambda a: F.struct(a["at"].alias("at"), F.concat(a["lists"], F.array(a["spans"])).alias("lists")))
+
+    parts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(found) + PART) / PART).cast("int") - 1))
+    none = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<array<struct<start:long,kind_at:int,end:long>>>").alias("lists"))
+    gathered = F.flatten(F.aggregate(parts, none, part, lambda acc: acc["lists"]))
     return F.when(text.rlike(rule.pattern), gathered).otherwise(empty)
 
 
@@ -161,7 +171,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules:
     queries = {RULES.index(r): q for r in rules if frozenset() not in (q := trigram_query(r.pattern))}
     grams = sorted({g for q in queries.values() for s in q for g in s})
     if grams:
-        flags = store(candidates(build_postings(texts, grams), grams, queries).select(F.col("doc_id").alias("_doc"), "rules"), "candidates", slim=True)
+        flags = store(candidates(build_postings(texts, grams), grams, queries).select(F.col("doc_id").alias("_doc"), "rules"), "candidates")
         small = flags.count() <= BROADCAST_ROWS
         texts = texts.join(F.broadcast(flags) if small else flags, texts["doc_id"].eqNullSafe(flags["_doc"]), "left")
     else:

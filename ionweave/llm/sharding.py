@@ -66,7 +66,14 @@ def assign_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("_base") + F.col("_idx")).alias("slot"), "grown_shard")
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write docs as one folder of files per shard, columns as they came, plus the shard in the folder's name (_shard)."""
-    place = assign_shards(docs, shards, id_col, text_col).select(F.col("doc_id").alias("_id"), F.col("shard").alias("_shard")).distinct()
-    docs.join(place, role(docs, id_col, "long").eqNullSafe(place["_id"])).drop("_id").write.partitionBy("_shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", shard_name: str = "_shard") -> None:
+    """Write docs as one folder of files per shard, columns as they came, plus the shard in the folder's name.
+
+    Rows with a null id go to the shard of -1, repeated rows all to theirs; an empty table writes no rows. A column of
+    docs with the name shard_name is refused: its values would be lost."""
+    if shard_name.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"docs has a column {shard_name} already; give another shard_name")
+    key = F.coalesce(role(docs, id_col, "long"), F.lit(-1))
+    found = assign_shards(docs, shards, id_col, text_col).select(F.coalesce("doc_id", F.lit(-1)).alias("id"), "shard").distinct()
+    rows = docs.select(F.struct(*(role(docs, c) for c in docs.columns)).alias("row"), key.alias("id"))
+    rows.join(found, "id").select("row.*", F.col("shard").alias(shard_name)).write.partitionBy(shard_name).parquet(path)

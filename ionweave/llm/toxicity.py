@@ -21,6 +21,8 @@ from .common import id_text, learn_mask, role, slices, store
 SAMPLE_ROWS, THRESHOLD = 20_000, 0.7
 #: Documents that must hold a lexicon term, terms kept, smallest weight (log-odds ratio) and z-like strength of one.
 MIN_SUPPORT, LEXICON_TERMS, MIN_WEIGHT, MIN_STRENGTH = 3, 600, 1.6, 3.2
+#: Terms of the sample's toxic rows, by support, that may enter the lexicon.
+LEXICON_CANDIDATES = 100_000
 PREFIXES = (6, 7)
 NEAR = 5
 # Second-person words of several languages.
@@ -202,13 +204,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Model from at most sample_rows labelled rows of docs. Rows with a null id or label are not used; with one label
     only, or none, every score is that label's share."""
     ids = labels.select(role(labels, label_id, "long").alias("doc_id"), role(labels, label_col, "int").alias("toxic")).where("doc_id is not null and toxic is not null").where(learn_mask())
-    chosen = store(ids.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows), "labelled", slim=True)
+    chosen = store(ids.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows), "labelled")
     half = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).cast("int")
     rows = store(id_text(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").select(half.alias("half"), "text", "toxic"), "labelled-texts")  # at most sample_rows ids
     sizes = {(r[0], r[1]): r[2] for r in rows.groupBy("half", "toxic").count().collect()}
     total = lambda part: part.groupBy("term").agg(*(F.sum(F.when(F.col("half") == h, F.col("n")).otherwise(0)).alias(f"n{h}") for h in (0, 1)))
     seen = total(rows.mapInArrow(_term_counts(1, None), "term string, half int, n long")).where(F.col("n0") + F.col("n1") >= MIN_SUPPORT)
-    hot = {r["term"]: (r["n0"], r["n1"]) for r in seen.orderBy(F.desc(F.col("n0") + F.col("n1")), "term").limit(100_000).collect()}  # of a bounded sample
+    hot = {r["term"]: (r["n0"], r["n1"]) for r in seen.orderBy(F.desc(F.col("n0") + F.col("n1")), "term").limit(LEXICON_CANDIDATES).collect()}  # of a bounded sample
     cold = {r["term"]: (r["n0"], r["n1"]) for r in total(rows.mapInArrow(_term_counts(0, frozenset(hot)), "term string, half int, n long")).collect()}
 
     def lexicon(halves: tuple[int, ...]) -> dict[str, float]:
@@ -249,7 +251,8 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that the model rejects; columns as they came. Rows are judged one by one, in place."""
+    """docs without the rows that the model rejects; columns as they came. Rows are judged one by one, in place: a null
+    text as an empty one, a null id by its text, repeated rows alike. An empty table gives an empty one."""
     model = fit(docs, labels, id_col, text_col)
     at = docs.columns.index(text_col)
 

@@ -77,10 +77,10 @@ def test_line_dedup(awkward, empty):
     assert Counter((d, t or "") for d, t in rows_of(replaced)) == Counter((d, t) for d, t, _, _ in expected)
 
 
-def test_line_dedup_without_sent_filters(awkward, monkeypatch):
+def test_line_dedup_with_many_filters(awkward, monkeypatch):
     expected = Counter(tuple(r) for r in ld.dedup_lines(awkward).collect())
-    monkeypatch.setattr(ld, "FILTER_BYTES", 0)
     monkeypatch.setattr(ld, "SHARD_KEYS", 1)
+    monkeypatch.setattr(ld, "SALTS", 3)
     assert Counter(tuple(r) for r in ld.dedup_lines(awkward).collect()) == expected
 
 
@@ -198,3 +198,66 @@ def test_word_encoder_equals_the_tokenizer():
         rng = random.Random(1)
         texts = ["".join(rng.choices("abé́Aİςσ.,' \n\t|<>1-ñßΣ", k=rng.randrange(30))) for _ in range(3000)] + ["a <|ENDOFTEXT|> b <|endoftext|>c", "x.. ,, don't, it's."]
         assert encode(texts) == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+
+
+def test_line_index_changes_only_what_it_must(spark, monkeypatch):
+    """Many insertions and deletions leave the index as if built anew; shards without a change keep their filters."""
+    monkeypatch.setattr(ld, "SHARD_KEYS", 4)
+    line = lambda k: f"line number {k} is shared and is longer than forty characters"
+    rows = [(d, "\n".join(line(k) for k in range(40) if (d * 7 + k * k) % 11 < 4)) for d in range(30)]
+    frame = lambda ids: spark.createDataFrame([rows[d] for d in ids], "doc_id long, text string")
+    index = ld.LineIndex.of(frame(range(20)))
+    assert index.shards > 3
+    old = {r["shard"]: bytes(r["filter"]) for r in index.filters.collect()}
+    one = index.insert(spark.createDataFrame([(99, line(0))], "doc_id long, text string"))
+    new = {r["shard"]: bytes(r["filter"]) for r in one.filters.collect()}
+    assert sum(old.get(s) != new.get(s) for s in old.keys() | new.keys()) <= 1
+    index = one.delete(spark.createDataFrame([(99,), (3,), (4,), (500,)], "doc_id long")).insert(frame([*range(20, 30), 5])).insert(frame([3]))
+    left = [d for d in range(30) if d != 4]
+    fresh = ld.LineIndex.of(frame(left))
+    state = lambda i: sorted(tuple(r) for r in i.frequent.select(F.hex("key"), "n_docs", "max_doc").collect())
+    assert state(index) == state(fresh) and sorted(index.refs.collect()) == sorted(fresh.refs.collect())
+    filters = {r["shard"]: ld.CuckooFilter.from_bytes(bytes(r["filter"])) for r in index.filters.collect()}
+    for r in index.frequent.withColumn("shard", ld._shard_column(index.shards)).collect():
+        assert bytes(r["key"]) in filters[r["shard"]]
+    got = Counter(tuple(r) for r in index.apply(frame(left)).collect())
+    assert got == Counter(brute_lines([rows[d] for d in left])) and got == Counter(tuple(r) for r in index.apply(frame(left), index.references()).collect())
+
+
+def test_filters_are_asked(spark, monkeypatch):
+    """Without its filter a shard's lines are taken for rare: the filters stand in the way of every line."""
+    text = "a line that is shared and is longer than forty characters"
+    docs = spark.createDataFrame([(i, text) for i in range(6)], "doc_id long, text string")
+    index = ld.LineIndex.of(docs)
+    assert index.apply(docs).agg(F.sum("n_dropped")).first()[0] == 5
+    index.filters = index.filters.where("false")
+    assert index.apply(docs).agg(F.sum("n_dropped")).first()[0] == 0
+
+
+def test_owners_hold_their_key_range(awkward):
+    """Each bucket's file holds one range of hashes, every text once, chained where hashes collide."""
+    from ionweave.llm.common import id_text
+
+    for hot in (0, 64):
+        log, index = ex.build_index(id_text(awkward), capacity=2, max_depth=6, hash_bits=4, hot_rows=hot)
+        rows = [r for r in index.collect()]
+        texts = {(r["text"] or "").translate(LOWER) for r in awkward.collect()}
+        assert len(rows) == len({r["digest"] for r in rows}) == len(texts) and max(r["chain"] for r in rows) > 1
+        ranges = defaultdict(set)
+        for r in rows:
+            ranges[r["bucket"]].add((r["hash"] & (1 << 64) - 1) >> 58)
+        ordered = sorted(ranges.values(), key=min)
+        assert len(ordered) > 2 and all(max(a) < min(b) for a, b in zip(ordered, ordered[1:]))
+        assert {(r["bucket"], r["hash"]) for r in log.collect()} == {(r["bucket"], r["hash"]) for r in rows}
+
+
+def test_clashing_names(awkward, tmp_path):
+    odd = awkward.select("*", *(F.lit("x").alias(c) for c in ("_id", "_line_doc", "_line_drop", "id", "row", "drop", "d", "_drop", "_digest")))
+    for out in (ld.replace_lines(odd), ex.keep_exact(odd)):
+        assert out.columns == odd.columns and 0 < out.count() <= odd.count()
+    sh.write_shards(odd, str(tmp_path / "out"), 3)
+    back = odd.sparkSession.read.parquet(str(tmp_path / "out"))
+    assert set(back.columns) == {*odd.columns, "_shard"} and back.count() == odd.count()
+    with pytest.raises(ValueError):
+        sh.write_shards(odd.withColumn("_shard", F.lit(1)), str(tmp_path / "no"), 3)
+    sh.write_shards(odd.withColumn("_shard", F.lit(1)), str(tmp_path / "yes"), 3, shard_name="piece")

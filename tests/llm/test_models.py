@@ -147,3 +147,76 @@ def test_queries_never_reject_a_match(rule):
         assert re.search(rule.pattern, text)
         low = text.lower()
         assert any(all(g in low for g in s) for s in ss.trigram_query(rule.pattern))
+
+
+def test_only_letters_count():
+    model = li.RankProfiles({"a": [int(c) for c in li.top_grams("abab abab", 50)]})
+    assert all(model.predict(t) == ("und", 0.0) for t in ("² ½", "Ⅷ _ 12", "①²³", "​ !")) and model.predict("² b ½")[0] == "a"
+    assert li.letters_of("aⅧb²c ½ D") == "a b c d"
+
+
+def brute_language(profiles, text, size):
+    """Nearest profile by the sum of rank differences, in plain Python."""
+    low = "".join(c if c.isalpha() else " " for c in text.lower())
+    held = {}
+    for word in low.split():
+        w = f" {word} "
+        for c in word:
+            held[c] = held.get(c, 0) + 1
+        for n in (2, 3):
+            for i in range(len(w) - n + 1):
+                g = w[i : i + n]
+                if n == 2 and g.strip() or n == 3 and g[1] != " ":
+                    held[g] = held.get(g, 0) + 1
+    code = lambda g: sum(ord(c) << 21 * k for k, c in enumerate(reversed(g)))
+    own = [c for c, _ in sorted(((code(g), n) for g, n in held.items()), key=lambda x: (-x[1], x[0]))][:size]
+    missing = max([li.PROFILE, *map(len, profiles.values())])
+    apart = {lang: sum(min(missing, abs(p.index(c) - i)) if c in p else missing for i, c in enumerate(own)) for lang, p in profiles.items()}
+    return min(sorted(apart), key=apart.get), apart
+
+
+def test_languages_equal_brute_force(spark):
+    docs = documents(spark, "/root/testdata/sf0.001")
+    model = li.fit(docs)
+    profiles = {lang: [int(model.codes[i]) for i in sorted(np.flatnonzero(model.ranks[:, j] < model.missing), key=lambda i: model.ranks[i, j])] for j, lang in enumerate(model.langs)}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in li.identify(docs, model).collect()[::4]:
+        text = texts[r["doc_id"]]
+        if text and any(c.isalpha() for c in text):
+            assert r["lang_pred"] == brute_language(profiles, text, li.DOCUMENT)[0]
+        else:
+            assert r["lang_pred"] == "und"
+
+
+def test_scores_equal_a_walk_through_the_trees(spark):
+    docs, labels = documents(spark, "/root/testdata/sf0.001"), spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    model = tx.fit(docs, labels)
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    features = tx.Featurizer(model.lexicon)
+    for r in tx.score(docs, model).collect()[::5]:
+        x, raw = features(texts[r["doc_id"]]), model.trees.base
+        for feature, cut, value in model.trees.trees:
+            at = 0
+            for _ in range(model.trees.depth):
+                j = feature[at]
+                at = 2 * at + 1 + (sum(e < x[j] for e in model.trees.edges[j]) > cut[at])
+            raw += model.trees.rate * value[at - len(feature)]
+        expected = 0.999 * np.interp(raw, *model.knots) + 0.001 / (1 + np.exp(-raw)) if len(model.knots[0]) else 1 / (1 + np.exp(-raw))
+        assert abs(r["score"] - min(1, max(0, expected))) < 1e-9
+
+
+def test_isotonic_equals_the_minimax_formula():
+    rng = np.random.default_rng(7)
+    raw, y = np.sort(rng.normal(size=40)), (rng.random(40) < 0.5).astype(float)
+    at, value = tx.isotonic(raw, y)
+    for i in range(40):
+        fit = max(min(y[a : b + 1].mean() for b in range(i, 40)) for a in range(i + 1))
+        block = [k for k in range(40) if abs(max(min(y[a : b + 1].mean() for b in range(k, 40)) for a in range(k + 1)) - fit) < 1e-12]
+        k = int(np.argmin(np.abs(at - raw[block].mean())))
+        assert abs(at[k] - raw[block].mean()) < 1e-9 and abs(value[k] - (fit * len(block) + 0.02) / (len(block) + 0.04)) < 1e-9
+
+
+def test_many_matches_in_a_long_text(spark):
+    text = "token=abcdef " * 4000 + "é" + "0123456789abcdef" * 3
+    found = ss.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["found"]
+    assert [tuple(s) for s in found] == brute_spans(text)

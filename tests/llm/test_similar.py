@@ -249,7 +249,7 @@ def test_decontamination(spark, empty):
 def test_decontamination_by_shuffle_joins(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "a b c d e f g h i j k l"), (2, "nothing of the kind")], "doc_id long, text string")
     bench = spark.createDataFrame([(7, "C d e f g h i J")], "item_id long, text string")
-    monkeypatch.setattr(dc, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(dc, "BROADCAST_BYTES", 0)
     assert [tuple(r)[:5] for r in dc.contaminated(docs, bench).collect()] == [(1, 7, 2, 8, 0)]
 
 
@@ -340,3 +340,35 @@ def test_rarest_shingles_meet_wherever_enough_are_shared():
         y = rng.permutation(np.r_[x[:17], rng.integers(0, 1000, 3).astype(np.int32)])
         rows = [sd.rarest(z, order, 20, 4) for z in (x, y)]
         assert np.intersect1d(*(v[r.ravel()] for r, v in rows)).size
+
+
+def test_component_ids_end_to_end(spark, awkward):
+    """Every document's component from all pairs of fingerprints of the whole table."""
+    rng = random.Random(6)
+    texts = []
+    for k in range(30):
+        words = [f"c{rng.randrange(5000)}" for _ in range(rng.randrange(30, 400))]
+        for _ in range(rng.randrange(1, 5)):
+            own = list(words)
+            for _ in range(rng.randrange(0, 3)):
+                own[rng.randrange(len(own))] = "changed"
+            texts.append(" ".join(own))
+    rows = [(i * 7 % 997, t) for i, t in enumerate(texts + [None, "", " \n", "one", "One"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").union(awkward.select(F.col("doc_id") + 10_000, "text"))
+    rows = [(r["doc_id"], brute_print(r["text"])) for r in df.collect()]
+    prints = sorted({f for _, f in rows})
+    roots = union_find(prints, [(a, b) for i, a in enumerate(prints) for b in prints[i + 1 :] if (a ^ b).bit_count() <= 4])
+    least = {}
+    for d, f in rows:
+        if d is not None:
+            least[roots[f]] = min(least.get(roots[f], d), d)
+    for long_list in (4096, 2):
+        got = Counter((r["doc_id"], r["component_id"]) for r in sm.near_duplicates(df, long_list=long_list).collect())
+        assert got == Counter((d, least.get(roots[f])) for d, f in rows)
+    assert len(least) < len(prints)
+
+
+def test_shared_bytes_are_tallied():
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 1 << 63, 500).astype(np.uint64) & rng.integers(0, 1 << 63, 500).astype(np.uint64) & rng.integers(0, 1 << 63, 500).astype(np.uint64)
+    assert sm.shared_bytes(x).tolist() == [sum(b == 0 for b in int(v).to_bytes(8, "little")) for v in x]
