@@ -1,7 +1,10 @@
 """Corpus pipeline: documents in, packed training sequences out. Each stage is written as Parquet and read again.
 
-Its stages learn a model, fingerprint texts and run a tokenizer, which SQL cannot express; ORACLE_SQL is None and the
-tests hold each stage against a brute-force version."""
+Its stages learn a model, fingerprint texts and run a tokenizer, which SQL cannot express; ORACLE_SQL is None. The tests
+hold the operators against brute force and each stage against its operator's decisions.
+
+In every stage null texts are empty, rows of a null id are judged by their text, rows that repeat an id are judged alike,
+columns with other names pass through, and an empty table gives an empty one; the operators' docstrings say it singly."""
 
 from __future__ import annotations
 

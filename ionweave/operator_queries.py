@@ -3,11 +3,13 @@ tables, peak lists, scan groups, search by spectrum, runs together, neighbour gr
 
 from __future__ import annotations
 
+import base64
 import dataclasses
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from ionweave.functions import peaks as pk
 from ionweave.operators import band_join as bj
@@ -23,7 +25,7 @@ from ionweave.queries import _FRAGS, _INDEX, _LABELLED, _PROT, HYPERSCORE_SQL, P
 from ionweave.schema import TableInterface
 from ionweave.sources import spectra as sp
 from ionweave.sources.fasta import read_fasta
-from ionweave.sources.mzml import dda_spectra
+from ionweave.sources.mzml import dda_spectra, read_mzml
 from ionweave.sources.sinks import write_search
 from ionweave.sources.tables import new_folder, table
 
@@ -227,15 +229,53 @@ def dda_top_peaks(spark, sf):
     return out.select("spec_id", F.size("peaks").cast("long").alias("n"), F.round(F.aggregate("peaks", F.lit(0.0), lambda a, p: a + p["intensity"]), 3).alias("total"))
 
 
+def _mzml(spark, sf) -> str:
+    """Supplier spectra as one mzML file."""
+    head = '<?xml version="1.0" encoding="utf-8"?>\n<mzML xmlns="http://psi.hupo.org/ms/mzml"><run id="run"><spectrumList>'
+    term = lambda accession, value="", unit="": f'<cvParam accession="{accession}" value="{value}" {unit}/>'
+
+    @F.pandas_udf("string")
+    def element(index: pd.Series, mz: pd.Series, intensity: pd.Series) -> pd.Series:
+        coded = lambda x: base64.b64encode(np.asarray(x, dtype="<f8").tobytes()).decode()
+        array = lambda kind, x: f"<binaryDataArray>{term('MS:1000523')}{term(kind)}<binary>{coded(x)}</binary></binaryDataArray>"
+        scan = term("MS:1000511", 2) + "<scanList><scan>" + term("MS:1000016", 0.5, 'unitName="minute"') + "</scan></scanList>"
+        return pd.Series([f'<spectrum index="{i}" id="scan={i}">{scan}<binaryDataArrayList>{array("MS:1000514", m)}{array("MS:1000515", v)}</binaryDataArrayList></spectrum>' for i, m, v in zip(index, mz, intensity)])
+
+    peaks = F.array_sort(F.collect_list(F.struct((F.col("l_extendedprice") / 50).alias("mz"), F.col("l_quantity").alias("i"))))
+    rows = table(spark, sf, "lineitem").groupBy("l_suppkey").agg(peaks.alias("p")).select(element("l_suppkey", "p.mz", "p.i").alias("value"))
+    line = lambda text: spark.createDataFrame([(text,)], "value string")
+    path = new_folder(spark, "run") + ".mzML"
+    line(head).union(rows).union(line("</spectrumList></run></mzML>")).coalesce(1).write.text(path)  # one file, as mzML comes
+    return path
+
+
+@query("SELECT l_suppkey::INT AS spectrum_index, 2 AS ms_level, 30.0::DOUBLE AS rt, count(*) AS n, round(sum(l_extendedprice / 50), 3) AS mz, round(sum(l_quantity), 3) AS intensity FROM lineitem WHERE l_suppkey % 3 <> 1 GROUP BY l_suppkey HAVING count(*) >= 15")
+def mzml_scan(spark, sf):
+    """Spectra of an mzML file through a hook that keeps some of them."""
+    rows = read_mzml(spark, _mzml(spark, sf), hook=lambda spectra: spectra.where("spectrum_index % 3 <> 1"))
+    total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda a, v: a + v), 3)
+    return rows.select("spectrum_index", "ms_level", F.col("rt_values").alias("rt"), F.size("mz_values").cast("long").alias("n"), total("mz_values").alias("mz"), total("corrected_intensity_values").alias("intensity"))
+
+
 @query("SELECT DISTINCT upper(translate(p_brand, '#', '_')) AS stem FROM (SELECT replace(p_brand, '#', '_') AS p_brand FROM part)")
 def window_stem(spark, sf):
     return table(spark, sf, "part").select(F.upper(sp.cache_stem(F.col("p_brand"))).alias("stem")).distinct()
 
 
+@query("""
+WITH a AS (SELECT event_id, value FROM events WHERE event_type = 'click'), b AS (SELECT value, min(event_id) AS nearest FROM events WHERE event_type = 'error' GROUP BY value)
+SELECT a.event_id AS event_id, b.nearest AS nearest FROM a ASOF LEFT JOIN b ON a.value <= b.value""")
+def next_value(spark, sf):
+    """The next larger value of another kind, over the whole table."""
+    events = table(spark, sf, "events")
+    errors = events.where("event_type = 'error'").select("value", F.col("event_id").alias("nearest"))
+    return bj.nearest_after(events.where("event_type = 'click'").select("event_id", "value"), errors, "value", "value", ["nearest"]).select("event_id", "nearest")
+
+
 # ---- search by spectrum ---------------------------------------------------------------------------------------------
 
 
-@query(HYPERSCORE_SQL.replace("SELECT spec AS spec_id,", "SELECT spec AS \"ScanID\","))
+@query(HYPERSCORE_SQL.replace("SELECT spec AS spec_id,", "SELECT spec AS \"ScanID\",").replace("AS fw FROM frags)", "AS fw FROM frags WHERE i >= 3)"))
 def dda_search(spark, sf):
     """Supplier spectra with one precursor each, written and read as result files on the way."""
     config = dataclasses.replace(PSEUDO, g_tolerances=(5.0, 0.2), g_tolerance_units=("da", "da"))
@@ -313,6 +353,21 @@ def self_neighbours(spark, sf):
     return graph.NeighborFinder({"value": (-0.1, 0.1), "sec": (-43200.0, 43200.0)}, ("value", "sec")).find(rows)
 
 
+@query("WITH c AS (SELECT event_id, user_id, value FROM events WHERE event_type = 'view') SELECT a.event_id AS \"left\", b.event_id AS \"right\" FROM c a JOIN c b ON b.value - a.value >= -0.05::DOUBLE AND b.value - a.value < 0.2::DOUBLE AND abs(a.user_id - b.user_id) + a.user_id % 3 BETWEEN 1 AND 40")
+def own_distance(spark, sf):
+    """Neighbours by a difference in one dimension and by a distance of one's own in another."""
+    rows = table(spark, sf, "events").where("event_type = 'view'").select(F.col("event_id").alias("id"), "value", "user_id")
+    finder = graph.NeighborFinder({"value": (-0.05, 0.2), "user_id": (1, 40)}, distances={"user_id": lambda a, b: F.abs(a - b) + a % 3})
+    return finder.find(rows)
+
+
+@query("WITH " + _FRAGS + " SELECT ion AS ion_series, min(i)::INT AS least, count(*) AS fragments FROM frags WHERE i >= 3 GROUP BY ion")
+def minimum_position(spark, sf):
+    """Fragments that are searched: three residues or more."""
+    index = PeptideIndex.from_proteins(_proteins(spark, sf), PSEUDO).from_position()
+    return index.frags.groupBy("ion_series").agg(F.min("ion_position").alias("least"), F.count(F.lit(1)).alias("fragments"))
+
+
 @query("WITH e AS (SELECT embedding::DOUBLE[] AS x FROM embeddings), p AS (SELECT floor(x[i] * 20)::BIGINT AS \"left\", floor(x[i + 8] * 20)::BIGINT AS \"right\" FROM (SELECT x, unnest(range(1, 9)) AS i FROM e)) SELECT \"left\", \"right\" FROM p UNION SELECT l_suppkey, l_linenumber FROM lineitem WHERE l_suppkey < 5")
 def edges_added(spark, sf):
     """Edges of parallel arrays, and more edges; repeats count once."""

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ionweave.functions.mass import tolerance
+from ionweave.operators.numbering import order_bucket
 
 
 def _bins(tol: float, unit: str) -> tuple[Callable[[Column], Column], float]:
@@ -87,12 +88,19 @@ def extracted_chromatogram(peaks: DataFrame, centres: DataFrame, tol: float, uni
 def nearest_after(left: DataFrame, right: DataFrame, left_on: str, right_on: str, keep: list[str], equal: str | None = None) -> DataFrame:
     """left with the `keep` columns of the first right row at or after its value (of the same `equal` key); null if none.
 
-    One sort of the union and a running look ahead; no pair is formed. Equal values of right: its smallest `keep` first."""
+    One sort of the union and a running look ahead; no pair is formed. Equal values of right: its smallest `keep` first.
+    Without a key, numbers are cut into buckets of values, each looked through by its own task; a row that finds nothing
+    in its bucket takes the first of the next bucket that has one."""
     keys = [equal] if equal else []
-    cols = left.columns
-    a = left.select(F.col(left_on).alias("_at"), F.struct(*cols).alias("_l"), F.lit(0).alias("_side"), *(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)))
-    b = right.select(F.col(right_on).alias("_at"), F.struct(*keep).alias("_r"), F.lit(1).alias("_side"), *(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)))
+    a = left.select(F.col(left_on).alias("_at"), F.struct(*left.columns).alias("_l"), F.lit(0).alias("_side"), *(F.col(k).alias("_k") for k in keys))
+    b = right.select(F.col(right_on).alias("_at"), F.struct(*keep).alias("_r"), F.lit(1).alias("_side"), *(F.col(k).alias("_k") for k in keys))
     both = a.unionByName(b, allowMissingColumns=True)
-    ahead = Window.partitionBy(*(f"_k{i}" for i in range(len(keys)))).orderBy("_at", "_side", "_r").rowsBetween(0, Window.unboundedFollowing)
+    both = both if equal else both.withColumn("_k", order_bucket(both, "_at"))
+    ahead = Window.partitionBy("_k").orderBy("_at", "_side", "_r").rowsBetween(0, Window.unboundedFollowing)
     found = both.withColumn("_next", F.first("_r", ignorenulls=True).over(ahead)).where("_side = 0")
+    if not equal:
+        firsts = both.groupBy("_k").agg(F.min(F.when(F.col("_side") == 1, F.struct("_at", "_r"))).alias("_first"))  # one row per bucket
+        later = Window.orderBy(F.desc("_k")).rowsBetween(1, Window.unboundedFollowing)
+        beyond = firsts.select("_k", F.first("_first", ignorenulls=True).over(later)["_r"].alias("_beyond"))
+        found = found.join(F.broadcast(beyond), "_k").withColumn("_next", F.when(F.col("_at").isNotNull(), F.coalesce("_next", "_beyond")))
     return found.select("_l.*", *(F.col(f"_next.{k}").alias(k) for k in keep))

@@ -36,13 +36,19 @@ def common_edges(a: DataFrame, b: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class NeighborFinder:
-    """Neighbour search with ranges per dimension: {name: (low, high)} of right - left; units `da` or `ppm`."""
+    """Neighbour search with ranges per dimension: {name: (low, high)} of right - left; units `da` or `ppm`.
+
+    distances: {name: function of the left and right column that gives a column} replaces the difference of a dimension,
+    with a closed range. At least one dimension keeps a difference: rows meet by its bins."""
 
     ranges: dict
     order: tuple = ()
     units: dict = field(default_factory=dict)
+    distances: dict = field(default_factory=dict)
 
     def __post_init__(self):
+        if not set(self.ranges) - set(self.distances):
+            raise ValueError("one dimension at least needs a plain difference")
         if set(self.order or self.ranges) != set(self.ranges):
             raise ValueError("order and ranges name different dimensions")
 
@@ -51,5 +57,8 @@ class NeighborFinder:
         names = list(self.order or self.ranges)
         a = left.select(F.col(left_id).alias("left"), *(F.col(n).alias(f"l_{n}") for n in names))
         b = (left if right is None else right).select(F.col(right_id).alias("right"), *(F.col(n).alias(f"r_{n}") for n in names))
-        dims = [(f"l_{n}", f"r_{n}", *self.ranges[n]) for n in names]
-        return band_join_multi(a, b, dims, [self.units.get(n, "da") for n in names]).select("left", "right")
+        plain = [n for n in names if n not in self.distances]
+        met = band_join_multi(a, b, [(f"l_{n}", f"r_{n}", *self.ranges[n]) for n in plain], [self.units.get(n, "da") for n in plain])
+        for n, distance in self.distances.items():
+            met = met.where(distance(F.col(f"l_{n}"), F.col(f"r_{n}")).between(*self.ranges[n]))
+        return met.select("left", "right")

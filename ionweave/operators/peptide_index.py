@@ -13,6 +13,8 @@ from ionweave.schema import FRAGMENTS, SEQUENCES
 
 #: Fragments outside this open range are not indexed (Da).
 FRAGMENT_RANGE = (150.0, 2000.0)
+#: Shorter fragments say little and are not searched.
+MIN_POSITION = 3
 #: Th of a partition of a written fragment table.
 PRECURSOR_BIN = 25.0
 
@@ -85,6 +87,10 @@ class PeptideIndex:
         """The part with precursors in the closed range."""
         return PeptideIndex(self.seqs.where(F.col("seq_mz").between(low, high)), self.frags.where(F.col("precursor_mz").between(low, high)), self.config, self.name)
 
+    def from_position(self, least: int = MIN_POSITION) -> PeptideIndex:
+        """The part with fragments of at least so many residues."""
+        return PeptideIndex(self.seqs, self.frags.where(F.col("ion_position") >= least), self.config, self.name)
+
     def fragments_between(self, low: float, high: float) -> DataFrame:
         """Fragments in the closed m/z range."""
         return self.frags.where(F.col("mz").between(low, high))

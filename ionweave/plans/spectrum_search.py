@@ -20,6 +20,6 @@ def explode_peaks(spectra: DataFrame, config: SearchConfig) -> DataFrame:
 
 
 def spectrum_search(spectra: DataFrame, index: PeptideIndex, config: SearchConfig, top_n: int = 10) -> DataFrame:
-    """The top_n candidates of each spectrum with ScanID; empty where nothing matches."""
-    found = hyperscore(explode_peaks(spectra, config), index, config.g_tolerances[1], config.g_tolerance_units[1], top_n)
+    """The top_n candidates of each spectrum with ScanID, by fragments of three residues or more; empty where nothing matches."""
+    found = hyperscore(explode_peaks(spectra, config), index.from_position(), config.g_tolerances[1], config.g_tolerance_units[1], top_n)
     return found.withColumnRenamed("spec_id", "ScanID").withColumnRenamed("seq_id", "id")

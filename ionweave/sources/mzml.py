@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import base64
 import zlib
+from collections.abc import Callable
 from xml.etree import ElementTree
 
 import numpy as np
@@ -32,30 +33,34 @@ def _array(node) -> tuple[str | None, list[float]]:
     return name, np.frombuffer(raw, dtype="<f4" if "f4" in kinds else "<f8").astype(float).tolist()
 
 
+def _row(node, index: int) -> tuple:
+    """A row of SCHEMA from one spectrum element; index where the element has none."""
+    level, rt, target, low, high, arrays = 1, None, None, 0.0, 0.0, {}
+    for p in node.iter():
+        tag, what = p.tag.rpartition("}")[2], TERMS.get(p.get("accession"))
+        if tag == "binaryDataArray":
+            name, values = _array(p)
+            if name:
+                arrays[name] = values
+        elif what == "ms_level":
+            level = int(p.get("value"))
+        elif what == "rt":
+            rt = float(p.get("value")) * (60.0 if p.get("unitName") == "minute" else 1.0)
+        elif what in ("target", "low", "high"):
+            value = float(p.get("value"))
+            target, low, high = (value, low, high) if what == "target" else (target, value, high) if what == "low" else (target, low, value)
+    bounds = (-1.0, -1.0) if target is None else (target - low, target + high)
+    return (int(node.get("index", index)), level, rt, *bounds, arrays.get("mz", []), arrays.get("intensity", []), arrays.get("mobility"))
+
+
 def parse_spectra(stream):
     """Rows of SCHEMA from an open mzML document."""
     index = 0
     for _, node in ElementTree.iterparse(stream):
-        if node.tag.rpartition("}")[2] != "spectrum":
-            continue
-        level, rt, target, low, high, arrays = 1, None, None, 0.0, 0.0, {}
-        for p in node.iter():
-            tag, what = p.tag.rpartition("}")[2], TERMS.get(p.get("accession"))
-            if tag == "binaryDataArray":
-                name, values = _array(p)
-                if name:
-                    arrays[name] = values
-            elif what == "ms_level":
-                level = int(p.get("value"))
-            elif what == "rt":
-                rt = float(p.get("value")) * (60.0 if p.get("unitName") == "minute" else 1.0)
-            elif what in ("target", "low", "high"):
-                value = float(p.get("value"))
-                target, low, high = (value, low, high) if what == "target" else (target, value, high) if what == "low" else (target, low, value)
-        bounds = (-1.0, -1.0) if target is None else (target - low, target + high)
-        yield (index, level, rt, *bounds, arrays.get("mz", []), arrays.get("intensity", []), arrays.get("mobility"))
-        index += 1
-        node.clear()
+        if node.tag.rpartition("}")[2] == "spectrum":
+            yield _row(node, index)
+            index += 1
+            node.clear()
 
 
 class _File(InputPartition):
@@ -93,26 +98,24 @@ class MzmlSource(DataSource):
         return MzmlReader(sorted(glob(path)) or [path])
 
 
-def read_mzml(spark: SparkSession, path: str, min_peaks: int = MIN_PEAKS) -> DataFrame:
-    """Spectra of at least min_peaks peaks; file contents come through Spark's own reader."""
-    import io
+def read_mzml(spark: SparkSession, path: str, min_peaks: int = MIN_PEAKS, hook: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Spectra of at least min_peaks peaks, after `hook`, if given, has kept or changed rows of all spectra.
 
-    def rows(batches):
+    Spark's own reader splits files at the ends of spectra, so a file of any size is read by many tasks, from any store
+    that Spark reads; memory holds a batch of spectra."""
+    end = "</spectrum>"
+
+    def rows(frames):
         import pandas as pd
 
-        for pdf in batches:
-            for content in pdf["content"]:
-                block = []
-                for row in parse_spectra(io.BytesIO(content)):
-                    block.append(row)
-                    if len(block) == 500:
-                        yield pd.DataFrame(block, columns=SCHEMA.names)
-                        block = []
-                if block:
-                    yield pd.DataFrame(block, columns=SCHEMA.names)
-
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInPandas(rows, SCHEMA).where(F.size("mz_values") >= min_peaks)
+        for pdf in frames:
+            parts = (v[v.find("<spectrum ") :] for v in pdf["value"] if "<spectrum " in v)
+            block = [_row(ElementTree.fromstring(part + end), -1) for part in parts]
+            if block:
+                yield pd.DataFrame(block, columns=SCHEMA.names)
+
+    found = spark.read.text(path, lineSep=end).mapInPandas(rows, SCHEMA)
+    return (found if hook is None else hook(found)).where(F.size("mz_values") >= min_peaks)
 
 
 def dda_spectra(spectra: DataFrame, min_peaks: int = MIN_PEAKS, keep: int = 150) -> DataFrame:
