@@ -332,6 +332,14 @@ def test_settled_groups_have_the_classes_of_all_pairs(spark):
     assert all(found[i]["class_id"] == r["class_id"] and found[i]["n_words"] >= r["n_words"] for i, r in plain.items())
 
 
+def test_large_groups_of_awkward_rows(spark, awkward):
+    """Repeated ids with texts of their own, nulls and copies pass the settling of large groups too."""
+    plain = {r["doc_id"]: r["class_id"] for r in sd.repeated_passages(awkward).collect()}
+    for all_pairs in (1, 2):
+        found = {r["doc_id"]: r["class_id"] for r in sd.repeated_passages(awkward, all_pairs=all_pairs).collect()}
+        assert found == plain and {12, 15, 18} <= set(found)
+
+
 def test_rarest_shingles_meet_wherever_enough_are_shared():
     rng = np.random.default_rng(2)
     order = rng.permutation(16).astype(np.int32)
