@@ -124,6 +124,17 @@ def test_ngram_search(spark):
     assert sorted(map(tuple, ngram.find_proteins(peptides, ngram.ngram_index(proteins), proteins).collect())) == [("AAAR", "KID1;KID3"), ("EDITHK", "KID3")]
 
 
+def test_ngram_search_keeps_grams_in_their_tasks(spark):
+    rng = random.Random(3)
+    rows = [(f"P{i}", "".join(rng.choice("ACKé") for _ in range(rng.randint(0, 60)))) for i in range(300)] + [("N", None)]
+    asked = sorted({s[i : i + rng.randint(4, 9)] for _, s in rows[:40] for i in range(0, len(s), 5)} | {"K"})
+    proteins = spark.createDataFrame(rows, "accession string, sequence string")
+    found = ngram.find_proteins(spark.createDataFrame([(p,) for p in asked], "peptide string"), ngram.ngram_index(proteins), proteins)
+    expected = {p: ";".join(sorted(a for a, s in rows if s and p in s)) for p in asked if len(p) >= 4}
+    assert {r["peptide"]: r["proteins"] for r in found.collect()} == expected
+    assert "ngram#" not in found._jdf.queryExecution().toString()  # no table of n-grams is shuffled
+
+
 def test_graph_tables(spark):
     a = graph.edges_from_arrays(spark.createDataFrame([([1, 2, 2], [5, 6, 7])], "l array<int>, r array<int>"), "l", "r")
     b = graph.add_edges(a.where("left = 2"), spark.createDataFrame([(9, 9)], "left int, right int"))
