@@ -13,10 +13,11 @@ def flat_for_csv(df: DataFrame) -> DataFrame:
 
 
 def write_search(psms: DataFrame, prefix: str | None = None, mode: str = "dia", peptides: DataFrame | None = None) -> list[str]:
-    """Write <prefix>.search[.dda].{csv,parquet} and <prefix>.search.peptides.parquet; returns the paths."""
+    """Write <prefix>.search[.dda].{csv,parquet} and <prefix>.search.peptides.parquet; returns the paths.
+    The CSV is written from the Parquet file, so that the search runs once."""
     stem = f"{prefix or 'ionweave'}.search{'.dda' if mode == 'dda' else ''}"
     psms.write.mode("overwrite").parquet(f"{stem}.parquet")
-    flat_for_csv(psms).write.mode("overwrite").csv(f"{stem}.csv", header=True)
+    flat_for_csv(psms.sparkSession.read.parquet(f"{stem}.parquet")).write.mode("overwrite").csv(f"{stem}.csv", header=True)
     made = [f"{stem}.parquet", f"{stem}.csv"]
     if peptides is not None:
         peptides.write.mode("overwrite").parquet(f"{stem}.peptides.parquet")

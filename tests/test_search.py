@@ -89,6 +89,31 @@ def test_every_peptide_finds_itself(spark, index):
     assert recalled == searched == index.targets.count()
 
 
+@pytest.mark.parametrize("tol,unit", [(0.3, "da"), (300.0, "ppm")])
+def test_candidates_equal_all_pairs(spark, tol, unit):
+    """Spectra of windows over several bins; sequences, not fragments or matched peaks, are shuffled."""
+    rng, config = np.random.default_rng(8), IndexConfig(precursor_charges=(2,), ion_charges=(1, 2))
+    words = ["".join(rng.choice(list("ACDEGKLMNPRSTVWY"), rng.integers(7, 16))) for _ in range(150)]
+    plain = PeptideIndex.from_peptides(spark.createDataFrame([(w,) for w in words], "peptide string"), config)
+    frags, mz = plain.frags.toPandas(), plain.seqs.toPandas().set_index("seq_id")
+    peaks = [(int(s), p, float(m), float(rng.integers(1, 9)), 395.0 + 60 * s, 480.0 + 75 * s) for s in range(6) for p, m in enumerate(rng.choice(frags["mz"], 80) + rng.uniform(-0.2, 0.2, 80))]
+    expected = {}
+    for s, p, m, i, low, high in peaks:
+        half = tol if unit == "da" else tol * m / 1e6
+        for f in frags[(np.abs(frags["mz"] - m) <= half) & frags["precursor_mz"].between(low, high)].itertuples():
+            expected.setdefault((s, f.seq_id), []).append((f.ion_series, p, i))
+    top = hyperscore(spark.createDataFrame(peaks, "spec_id long, peak_id long, spec_mz double, spec_int double, prec_low double, prec_high double"), plain, tol, unit, top_n=1000)
+    rows = {(r["spec_id"], r["seq_id"]): r for r in top.collect()}
+    expected = {k: v for k, v in expected.items() if len(v) > 3}
+    assert set(rows) == set(expected) and len(rows) > 10
+    for k, v in expected.items():
+        r = rows[k]
+        assert r["spec_indices"] == sorted(p for _, p, _ in v) and r["b_npeaks"] == sum(ion == "b" for ion, _, _ in v)
+        assert r["y_intensity"] == pytest.approx(sum(i for ion, _, i in v if ion == "y")) and r["peptide"] == mz.loc[k[1], "seq_proforma"]
+        assert r["med_abs_dm"] == pytest.approx(np.median(r["mass_errors"])) and r["PrecursorMZ"] == mz.loc[k[1], "seq_mz"]
+    assert "ion_series" not in top._jdf.queryExecution().executedPlan().toString()
+
+
 def test_no_match_is_an_empty_table(spark, index):
     assert spectrum_search(as_spectrum(spark, [(1.0, 1.0)], 500.0), index, SearchConfig()).count() == 0
 
@@ -140,6 +165,14 @@ def test_window_search_recalls_simulated_peptides(spark, index, ims):
     assert ws.window_search(run.where("rt_values < 0"), index, SearchConfig(), ims=ims).count() == 0
 
 
+def test_window_search_shuffles_sequences(spark, index):
+    run = simulated_run(spark, [p for p in ELUTING if p in ALBUMIN])
+    psms = ws.window_search(run, index, SearchConfig())
+    bare = ws.window_search(run, PeptideIndex(index.seqs, index.frags, index.config), SearchConfig())
+    assert sorted(map(str, psms.collect())) == sorted(map(str, bare.collect())) and psms.count() > 0
+    assert "ion_series" not in psms._jdf.queryExecution().executedPlan().toString()
+
+
 def test_relational_stack_equals_the_kernel(spark, index):
     from ionweave.plans.feature_stack import stack_features
 
@@ -230,6 +263,39 @@ def test_modified_peptides_and_collisions(spark):
     assert rows == {"LES[+79.9]LIEK/1": False, "LEILS[+79.9]EK/1": True, "AGAGA/1": False}
 
 
+@pytest.mark.parametrize("keep", [False, True])
+def test_decoys_meet_their_targets_in_one_row(spark, keep):
+    from ionweave.operators.peptide_index import with_decoys
+
+    targets = ["ABCK", "ACBK", "AK", "AAAA", "PEPTIDEK", "*LESK", "LSEK", "P[+1.0]QRK", "ABCK"]
+    held = spark.createDataFrame([(t,) for t in targets], "peptide string")
+    turned = dict(held.select("peptide", pep.reverse_interior(F.col("peptide"))).collect())
+    expected = {(t, False, "target") for t in targets} | {(d, True, "decoy") for d in turned.values() if d not in targets}
+    expected |= {(d, False, "collision") for d in turned.values() if d in targets and keep}
+    made = with_decoys(held, IndexConfig(keep_colliding_decoys=keep))
+    assert sorted(map(tuple, made.collect())) == sorted(expected)
+
+
+def test_written_index_holds_sequences(spark, index, tmp_path):
+    index.write(str(tmp_path / "i"))
+    assert {f.name for f in (tmp_path / "i").iterdir()} == {"peptides.parquet"}
+    back = PeptideIndex.read(spark, str(tmp_path / "i"), SearchConfig(ion_mz_range=(300.0, 900.0)))
+    assert sorted(map(tuple, back.frags.collect())) == sorted(map(tuple, index.frags.where("mz > 300 and mz < 900").select(*FRAGMENTS.names).collect()))
+    plan = PeptideIndex(index.seqs, index.frags, index.config)
+    assert plan.ladders(plan.sequences()).count() == index.frags.count()
+
+
+def test_large_sources_are_several_files(spark):
+    from ionweave.operator_queries import _fasta, _mzml
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as tables of some size are dealt
+    try:
+        paths = [made(spark, "/root/testdata/sf0.001") for made in (_fasta, _mzml)]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert all(spark.read.format("binaryFile").load(path).count() > 1 for path in paths)
+
+
 def test_sinks(spark, tmp_path, index):
     psms = spectrum_search(as_spectrum(spark, SAMPLE_PEAKS, SAMPLE_PRECURSOR), index, SearchConfig())
     paths = sinks.write_search(psms, str(tmp_path / "out"), "dda")
