@@ -96,8 +96,8 @@ def nearest_after(left: DataFrame, right: DataFrame, left_on: str, right_on: str
     b = right.select(F.col(right_on).alias("_at"), F.struct(*keep).alias("_r"), F.lit(1).alias("_side"), *(F.col(k).alias("_k") for k in keys))
     both = a.unionByName(b, allowMissingColumns=True)
     both = both if equal else both.withColumn("_k", order_bucket(both, "_at"))
-    ahead = Window.partitionBy("_k").orderBy("_at", "_side", "_r").rowsBetween(0, Window.unboundedFollowing)
-    found = both.withColumn("_next", F.first("_r", ignorenulls=True).over(ahead)).where("_side = 0")
+    ahead = Window.partitionBy("_k").orderBy(F.desc("_at"), F.desc("_side"), F.desc("_r")).rowsBetween(Window.unboundedPreceding, 0)  # backwards: a frame to the end is summed anew for every row
+    found = both.withColumn("_next", F.last("_r", ignorenulls=True).over(ahead)).where("_side = 0")
     if not equal:
         firsts = both.groupBy("_k").agg(F.min(F.when(F.col("_side") == 1, F.struct("_at", "_r"))).alias("_first"))  # one row per bucket
         later = Window.orderBy(F.desc("_k")).rowsBetween(1, Window.unboundedFollowing)

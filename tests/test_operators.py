@@ -185,6 +185,32 @@ def test_factor_product(spark):
     assert impute.factor_product(left, right).first()["value"] == 31.0
 
 
+def test_factor_product_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(impute, "BLOCK", 7)
+    rng = np.random.default_rng(5)
+    cells = [[(k, int(f), None if rng.random() < 0.1 else float(rng.integers(-5, 6))) for k in range(20) for f in rng.choice(40, 3)] for _ in range(2)]
+    expected = {}
+    for r, f, a in cells[0]:
+        for c, g, b in cells[1]:
+            if f == g:
+                held = expected.setdefault((r, c), [])
+                held += [a * b] if a is not None and b is not None else []
+    left, right = (spark.createDataFrame(x, f"{n} long, factor int, weight double") for x, n in zip(cells, ("row", "run")))
+    made = impute.factor_product(left, right)
+    assert {(r["row"], r["run"]): r["value"] for r in made.collect()} == {k: sum(v) if v else None for k, v in expected.items()}
+    assert "hashpartitioning(factor" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_look_ahead_takes_linear_time(spark):
+    left = spark.range(300).select((F.col("id") * 1.5).alias("rt"), F.lit(1).alias("k"))
+    right = spark.range(200).select((F.col("id") * 2.0).alias("t"), F.col("id").alias("scan"), F.lit(1).alias("k"))
+    for key in ("k", None):
+        got = bj.nearest_after(left, right, "rt", "t", ["scan"], key)
+        assert all(r["scan"] == (-(-r["rt"] // 2) if r["rt"] <= 398 else None) for r in got.collect())
+        plan = got._jdf.queryExecution().optimizedPlan().toString().lower()
+        assert key is None or "unboundedfollowing" not in plan
+
+
 def test_seed_neighbours(spark):
     from ionweave.functions.peaks import file_stem, summary
     from ionweave.operators.seeds import seed_neighbours
