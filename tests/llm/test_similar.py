@@ -412,3 +412,47 @@ def test_smallest_windows_hold_the_prefix_of_each_run():
             if (run == 0).sum() <= 3:
                 expected |= {(h, s) for _, h in sorted((0, 0) if h == 0 else (h % 7 + 2, h) for h in run.tolist())[:4] if h}
         assert held == expected
+
+
+def test_pairs_at_one_offset_are_found_together():
+    """All pairs of a batch at once have what each has alone; those with repeats or several offsets are left to similar_runs."""
+    rng = np.random.default_rng(7)
+    xs, ys = [], []
+    for k in range(120):
+        x = rng.integers(2, (10**6, 10**6, 40)[k % 3], rng.integers(15, 90)).astype(np.int32)
+        y = np.r_[rng.integers(2, 10**6, k % 5).astype(np.int32), x[k % 4 :], rng.integers(2, 10**6, k % 7).astype(np.int32)]
+        y[rng.random(len(y)) < (0, 0.02, 0.08)[k // 3 % 3]] = 0
+        x[rng.random(len(x)) < 0.02] = 0
+        xs.append(x)
+        ys.append(np.r_[y[:9], y[12:]] if k % 11 == 5 else y)
+    done, found = sd.one_offset_runs(xs, ys, 20, sd.needed(20, 0.8))
+    got = [set() for _ in xs]
+    for k, s, e, t, u, top in zip(*(c.tolist() for c in found)):
+        got[k].add((s, e, t, u, top / (40 - top)))
+    assert 60 < done.sum() < 120 and sum(map(len, got)) > 60
+    for k in range(120):
+        alone = set(sd.similar_runs(xs[k], np.where(ys[k] == 0, np.int32(1), ys[k]), 20, 0.8, False))
+        assert got[k] == (alone if done[k] else set())
+
+
+def test_settling_near_copies_links_few_pairs(spark, monkeypatch):
+    """Copies that all differ from their source a little: new centres settle the groups, with the classes of all pairs."""
+    rng = random.Random(12)
+    base = [f"n{i}" for i in range(150)]
+    rows = []
+    for i in range(150):
+        own = [f"x{rng.randrange(10**7)}" if rng.random() < 0.025 else w for w in base]
+        rows.append((i, " ".join([f"u{rng.randrange(10**7)}" for _ in range(10)] + own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = {r["doc_id"]: r for r in sd.repeated_passages(df, every_pair=True).collect()}
+    linked, find = [], sd._found
+
+    def counted(nodes, links, *how):
+        linked.append(links.count())
+        return find(nodes, links, *how)
+
+    monkeypatch.setattr(sd, "_found", counted)
+    monkeypatch.setattr(sd, "FEW_PAIRS", 0, raising=False)
+    found = {r["doc_id"]: r for r in sd.repeated_passages(df, all_pairs=6).collect()}
+    assert {i: (r["class_id"], r["spans"]) for i, r in found.items()} == {i: (r["class_id"], r["spans"]) for i, r in plain.items()}
+    assert len(found) > 100 and sum(linked[1:]) <= 2 * linked[0]
