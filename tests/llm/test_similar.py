@@ -435,9 +435,9 @@ def test_pairs_at_one_offset_are_found_together():
         assert got[k] == (alone if done[k] else set())
 
 
-def test_settling_near_copies_links_few_pairs(spark, monkeypatch):
+def test_rounds_of_centres_give_the_classes_of_all_pairs(spark, monkeypatch):
     """Openings of a template with one word changed, at one of six places: those of one place are similar, others are not.
-    New centres settle them with the classes of all pairs, without meeting all the others."""
+    Rounds of centres and the join after them give the classes of all pairs."""
     rng = random.Random(12)
     base, rows = [f"n{i}" for i in range(80)], []
     for i in range(126):
