@@ -455,3 +455,33 @@ def test_rounds_of_centres_give_the_classes_of_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(sd, "FEW_PAIRS", 0, raising=False)
     found = {r["doc_id"]: r for r in sd.repeated_passages(df, all_pairs=6).collect()}
     assert {i: r["class_id"] for i, r in found.items()} == {i: i % 6 for i in range(126)}
+
+
+def test_links_of_large_groups_are_all_pairs(spark):
+    """Near copies of one text, templates, copies to the byte and many holders of one passage: each document has as many
+    links as there are others with a similar passage, however large the groups are."""
+    rng = random.Random(21)
+    fresh = lambda n: [f"s{rng.randrange(10**7)}" for _ in range(n)]
+    base, common, docs = fresh(120), fresh(60), {}
+    for i in range(60):
+        own = list(base)
+        for at in rng.sample(range(120), rng.randrange(0, 6)):
+            own[at] = f"x{rng.randrange(10**7)}"
+        docs[200 - i] = fresh(15) + own + fresh(15) + (fresh(5) + common if i % 4 == 0 else [])
+    docs |= {300 + i: fresh(20) + common + fresh(20) for i in range(50)}
+    docs |= {i: t.split() for i, t in boilerplate(5, 10, 10).items()}
+    docs |= {400 + i: docs[200 - i] for i in range(5)} | {500: docs[310], 501: docs[310]}
+    docs = {i: " ".join(w) for i, w in docs.items()}
+    pairs = brute_links(docs)
+    links = Counter(i for p in pairs for i in p)
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    classes = union_find(set(links), pairs)
+    spans = None
+    for all_pairs in (6, 1000):
+        found = {r["doc_id"]: r for r in sd.repeated_passages(df, all_pairs=all_pairs).collect()}
+        assert {i: r["links"] for i, r in found.items()} == links and {i: r["class_id"] for i, r in found.items()} == classes
+        held = {i: (r["spans"], round(r["similarity"], 9)) for i, r in found.items()}
+        assert spans in (None, held)
+        spans = held
+    settled = {r["doc_id"]: r for r in sd.repeated_passages(df, all_pairs=6, every_pair=False).collect()}
+    assert {i: r["class_id"] for i, r in settled.items()} == classes and all(r["spans"] == spans[i][0] for i, r in settled.items())
